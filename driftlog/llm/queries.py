@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, minhash_dedup, packing, sharding
+from . import chat, language, line_dedup, minhash_dedup, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
+    return toxicity.scored(docs, chain, toxicity.CATEGORIES)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "lines_removed")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -59,6 +69,12 @@ from spelled group by conv_id
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(held, F.lit(False)).alias("held_out"))
+    return language.predicted(docs, language.train(docs.where("not held_out").select("text", "lang")))
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,5 +82,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces)
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL}
