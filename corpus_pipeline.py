@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import minhash_dedup
+from driftlog.llm import decontamination, line_dedup, minhash_dedup, packing, toxicity
 from driftlog.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose last chain probability reaches the threshold go; the chain learns from the labelled documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.train(toxicity.labelled_documents(docs, labels), toxicity.CATEGORIES)
+    return toxicity.clean(docs, chain).select(*COLUMNS)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that spread over sites go from the texts; every document stays."""
+    return line_dedup.without_boilerplate(docs).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
     gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as token pieces with their places in the training sequences."""
+    import public_tokenizers
+
+    return packing.packed(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
 #: No SQL states sketches, trained models or token packing; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, language, line_dedup, minhash_dedup, packing, sharding, toxicity
+from . import chat, decontamination, html_text, language, line_dedup, minhash_dedup, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "lines_removed")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -82,5 +90,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL}

@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain: one linear model per category, each also fed the probabilities of the earlier ones.
 
-Word statistics come from every labelled document; the words that separate a category best become features, and the
-linear models are fitted on at most ``SAMPLE_ROWS`` labelled rows (lowest hash of their content). While
+Word statistics come from every labelled document: words that separate a category clearly become features, each scaled
+by its smoothed log ratio of document shares, so that telling words weigh more than common ones. The linear models are
+fitted on at most ``SAMPLE_ROWS`` labelled rows (lowest hash of their content). While
 training, a later category sees out-of-fold probabilities of the earlier ones, as it will see for unseen texts.
 
 Defined cases: null and empty texts get the probabilities of a text without known words; a null label is no label for
@@ -20,6 +21,7 @@ from .shingles import blocks, words
 
 BUCKETS, FEATURES = 1 << 18, 1024
 SAMPLE_ROWS, FOLDS, L2, STEPS = 20_000, 4, 2.0, 300
+LEAST_Z = 3.0  # standard errors between the shares of a word in both outcomes
 PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() and c not in (9, 10, 11, 12, 13) else c for c in range(256))
 
 
@@ -40,19 +42,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Linear:
     """Logistic regression on present features and dense columns, classes weighted equally, by accelerated gradient."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray):
+    def __init__(self, scale: np.ndarray, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray):
         n, d = len(y), dense.shape[1]
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
         w, v, b = np.zeros(FEATURES), np.zeros(d), 0.0
         g2 = np.full(FEATURES + d + 1, 1e-6)
         for _ in range(STEPS):
-            p = sigmoid(np.bincount(rows, w[cols], minlength=n) + dense @ v + b)
+            p = sigmoid(np.bincount(rows, (w * scale)[cols], minlength=n) + dense @ v + b)
             e = weight * (p - y)
-            g = np.concatenate([np.bincount(cols, e[rows], minlength=FEATURES) + L2 * w, dense.T @ e + L2 * v, [e.sum()]])
+            g = np.concatenate([np.bincount(cols, e[rows], minlength=FEATURES) * scale + L2 * w, dense.T @ e + L2 * v, [e.sum()]])
             g2 += g * g
             step = 0.5 * g / np.sqrt(g2)
             w, v, b = w - step[:FEATURES], v - step[FEATURES:-1], b - step[-1]
-        self.w, self.v, self.b = w, v, b
+        self.w, self.v, self.b = w * scale, v, b
 
     def __call__(self, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray) -> np.ndarray:
         return sigmoid(np.bincount(rows, self.w[cols], minlength=len(dense)) + dense @ self.v + self.b)
@@ -61,7 +63,7 @@ class Linear:
 class Chain:
     """Models of all categories in order, their features and thresholds."""
 
-    def __init__(self, features: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray):
+    def __init__(self, features: np.ndarray, scales: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray):
         self.column = np.full(BUCKETS, -1, np.int64)
         self.column[features] = np.arange(len(features))
         rows, cols = self.flat(sets)
@@ -76,7 +78,7 @@ class Chain:
                 self.thresholds.append(2.0)
                 dense = np.column_stack([dense, np.full(len(sets), share)])
                 continue
-            fit = lambda use: Linear(*self.part(rows, cols, use), dense[use], y[use])  # noqa: B023, E731
+            fit = lambda use: Linear(scales[k], *self.part(rows, cols, use), dense[use], y[use])  # noqa: B023, E731
             out = np.full(len(sets), share)
             for f in range(FOLDS):
                 use = known & (fold != f)
@@ -134,7 +136,7 @@ def train(labelled: DataFrame, categories: list[str]) -> Chain:
         both = (F.col(f"n{2 * i}") + F.col(f"n{2 * i + 1}") + 1) / F.lit(n0 + n1)
         gap = F.abs(F.col(f"n{2 * i + 1}") / n1 - F.col(f"n{2 * i}") / n0) / F.sqrt(both * (1.0 / n0 + 1.0 / n1))
         apart = F.greatest(apart, gap)
-    best = counted.select("bucket", apart.alias("apart")).orderBy(F.desc("apart"), "bucket").limit(FEATURES).collect()
+    best = counted.withColumn("apart", apart).where(F.col("apart") >= LEAST_Z).orderBy(F.desc("apart"), "bucket").limit(FEATURES).collect()
     draw = F.xxhash64("text", *categories)
     sample = read.withColumn("draw", draw).orderBy("draw").limit(SAMPLE_ROWS)
 
@@ -147,13 +149,17 @@ def train(labelled: DataFrame, categories: list[str]) -> Chain:
     chosen = np.zeros(BUCKETS, bool)
     chosen[[r.bucket for r in best]] = True
     rows = sample.mapInArrow(sets, "words array<long>, " + ", ".join(f"{c} int" for c in categories) + ", draw long").collect()  # at most SAMPLE_ROWS
+    scales = np.zeros((k, FEATURES))
+    for i in range(k):
+        for j, r in enumerate(best):
+            scales[i, j] = np.log((r[f"n{2 * i + 1}"] + 2) / (totals[2 * i + 1] + 4) / ((r[f"n{2 * i}"] + 2) / (totals[2 * i] + 4)))
     labels = np.array([[np.nan if r[c] not in (0, 1) else r[c] for c in categories] for r in rows], float).reshape(-1, k)
     fold = np.array([r.draw % FOLDS for r in rows], np.int64)
-    return Chain(np.array([r.bucket for r in best], np.int64), [np.array(r.words, np.int64) for r in rows], labels, fold)
+    return Chain(np.array([r.bucket for r in best], np.int64), scales, [np.array(r.words, np.int64) for r in rows], labels, fold)
 
 
 def scored(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
-    """doc_id and text hash untouched: (doc_id, p_<category>..., rejected) per row; rejected by the last category's threshold."""
+    """doc_id, p_<category>..., rejected per row; rejected by the last category's threshold."""
     limit = chain.thresholds[-1]
 
     def run(batches):
@@ -168,6 +174,19 @@ def scored(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, all columns as they are."""
+    limit = chain.thresholds[-1]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array(chain(word_sets(texts))[:, -1] < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 CATEGORIES = ["low_quality", "toxic"]
 
 
