@@ -79,7 +79,7 @@ class Windows:
                 owner.append(np.full(len(g), len(self.window)))
                 at.append(np.arange(len(g)))
                 self.window.append((item, start, part, len(part) // PER_EDIT))
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owner, at)]
+        joined = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (owner, np.int64), (at, np.int64))]
         order = np.argsort(joined[0], kind="stable")
         self.hash, self.owner, self.at = (x[order] for x in joined)
         self.seen = np.zeros(MASK + 1, bool)

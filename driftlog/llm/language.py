@@ -45,6 +45,8 @@ def gram_counts(text: str) -> np.ndarray:
 
 def codewords(n: int) -> np.ndarray:
     """n codewords of +-1: all two-sided splits for up to 6 languages, else 63 balanced seeded ones."""
+    if n == 0:
+        return np.zeros((0, 1), np.int64)
     if n <= 6:
         bits = [(1, *b) for b in itertools.product((1, -1), repeat=max(0, n - 1)) if -1 in b]
         return np.array(bits or [(1,)], np.int64).T
