@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, language, line_dedup, minhash_dedup, packing, sharding, toxicity
+from . import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, chain, toxicity.CATEGORIES)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "lines_removed")
 
@@ -90,5 +94,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftlog.llm import chat, decontamination, html_text, language, line_dedup, minhash_dedup, packing, queries, sharding, toxicity
+from driftlog.llm import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, packing, queries, sharding, toxicity
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, _extra string"
@@ -209,3 +209,39 @@ def test_html(spark):
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, DIR).collect()
     assert check_layout(rows) and len({r.doc_id for r in rows}) <= spark.read.parquet(f"{DIR}/documents.parquet").count()
+
+
+def test_embeddings_equal_brute_force(spark):
+    found = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(200).collect()
+    random, rows = np.random.default_rng(5), []
+    for r in found:
+        v = np.array(r.embedding)
+        for k in range(4):  # the row and noisy copies with cosines on both sides of the threshold
+            rows.append((r.vec_id * 4 + k, [float(c) for c in np.float32(v + k * random.normal(size=len(v)) * 0.12 * np.linalg.norm(v) / len(v) ** 0.5)], r.label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows = df.collect()
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r.label for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    low = np.array([r.vec_id for r in rows])
+    while True:
+        new = np.minimum(low, np.where(near, low[None, :], low.max()).min(1))
+        if (new == low).all():
+            break
+        low = new
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {r.vec_id: (int(near[i].sum()), int(low[i]), bool(low[i] == r.vec_id)) for i, r in enumerate(rows)}
+    assert 300 < near.sum() < 2000
+    assert queries.op2_embedding_near_dedup(spark, "/root/testdata/sf0.01").count() == 500
+
+
+def test_embeddings_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [1.0, None], 1), (9, [inf, 1.0], 1), (10, [], 1), (11, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (12, [1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert len(got) == len(rows) and got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[11] == (3, 1, False) and got[None] == (3, None, True)
+    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 12))
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
