@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain: one linear model per category, each also fed the probabilities of the earlier ones.
 
-Word statistics come from every labelled document: words that separate a category clearly become features, each scaled
-by its smoothed log ratio of document shares, so that telling words weigh more than common ones. The linear models are
-fitted on at most ``SAMPLE_ROWS`` labelled rows (lowest hash of their content). While
+The chain is fitted on at most ``SAMPLE_ROWS`` labelled documents, those with the lowest hashes of their ids. Words that
+separate a category clearly there become features, each scaled by its smoothed log ratio of document shares, so
+that telling words weigh more than common ones. While
 training, a later category sees out-of-fold probabilities of the earlier ones, as it will see for unseen texts.
 
 Defined cases: null and empty texts get the probabilities of a text without known words; a null label is no label for
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .shingles import blocks, words
 
 BUCKETS, FEATURES = 1 << 18, 1024
@@ -114,13 +115,22 @@ class Chain:
 def train(labelled: DataFrame, categories: list[str]) -> Chain:
     """A chain from (text, one 0/1 column per category)."""
     k = len(categories)
-    read = labelled.select(F.col("text").cast("binary").alias("text"), *(F.col(c).cast("int").alias(c) for c in categories))
+    read = labelled.select(F.col("text").cast("binary").alias("text"), *(F.col(c).cast("int").alias(c) for c in categories), F.xxhash64("text", *categories).alias("draw"))
+    marks = ", ".join(f"{c} int" for c in categories) + ", draw long"
+
+    def slim(batches):
+        for batch in batches:
+            words_of = [s.astype(np.int32).tobytes() for s in word_sets(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(words_of, pa.binary()), *batch.columns[1:]], names=["words", *categories, "draw"])
+
+    read = stored(read.mapInArrow(slim, "words binary, " + marks).orderBy("draw").limit(SAMPLE_ROWS))
+    of = lambda column: [np.frombuffer(w, np.int32).astype(np.int64) for w in column.to_pylist()]
 
     def count(batches):
         seen = np.zeros((2 * k, BUCKETS), np.int64)
         for batch in batches:
             flags = [np.array([-1 if v is None else v for v in batch.column(1 + i).to_pylist()], np.int64) for i in range(k)]
-            for at, s in enumerate(word_sets(batch.column(0).to_pylist())):
+            for at, s in enumerate(of(batch.column(0))):
                 for i in range(k):
                     if flags[i][at] in (0, 1):
                         seen[2 * i + flags[i][at], s] += 1
@@ -137,18 +147,15 @@ def train(labelled: DataFrame, categories: list[str]) -> Chain:
         gap = F.abs(F.col(f"n{2 * i + 1}") / n1 - F.col(f"n{2 * i}") / n0) / F.sqrt(both * (1.0 / n0 + 1.0 / n1))
         apart = F.greatest(apart, gap)
     best = counted.withColumn("apart", apart).where(F.col("apart") >= LEAST_Z).orderBy(F.desc("apart"), "bucket").limit(FEATURES).collect()
-    draw = F.xxhash64("text", *categories)
-    sample = read.withColumn("draw", draw).orderBy("draw").limit(SAMPLE_ROWS)
 
     def sets(batches):
         for batch in batches:
-            found = word_sets(batch.column(0).to_pylist())
-            kept = [s[chosen[s]].tolist() for s in found]
+            kept = [s[chosen[s]].tolist() for s in of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())), *(batch.column(1 + i) for i in range(k)), batch.column(k + 1)], names=["words", *categories, "draw"])
 
     chosen = np.zeros(BUCKETS, bool)
     chosen[[r.bucket for r in best]] = True
-    rows = sample.mapInArrow(sets, "words array<long>, " + ", ".join(f"{c} int" for c in categories) + ", draw long").collect()  # at most SAMPLE_ROWS
+    rows = read.mapInArrow(sets, "words array<long>, " + marks).collect()  # at most SAMPLE_ROWS
     scales = np.zeros((k, FEATURES))
     for i in range(k):
         for j, r in enumerate(best):
@@ -191,5 +198,7 @@ CATEGORIES = ["low_quality", "toxic"]
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+    """(text, low_quality, toxic) of the labelled documents in the sample; its labels, SAMPLE_ROWS at most, are broadcast."""
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
+    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
