@@ -12,6 +12,8 @@ an empty table gives no rows. Other columns are left alone.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 
 import numpy as np
@@ -22,26 +24,75 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LIMIT, END_ID = 4096, 1
+END = np.array([END_ID], "<u4").tobytes()
+MARK, GROUP_WORDS = "\x01", 1000
+BLANK = re.compile(r"[\t\n\r]")
 BLOCK_BYTES = 1 << 20
 RANK_ROWS = 500_000
+CACHE_WORDS, CACHE_CHARS = 1 << 20, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
+class WordCoder:
+    """Token ids of whole texts as little-endian bytes, end id included, coding each word between ASCII blanks once.
+
+    Right for tokenizers that drop white space and never join characters across it, as those with a word pattern and an
+    end-of-word suffix do; ``token_pieces`` is tested against whole-text coding. Words of at most ``CACHE_CHARS``
+    characters are kept; the store is emptied when it holds ``CACHE_WORDS``.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+        marks = tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = marks[0] if len(marks) == 1 else None
+
+    def coded(self, words: list[str]) -> dict[str, bytes]:
+        """Many words go through the tokenizer as one text, told apart by the id of ``MARK``; words that hold it go alone."""
+        alone = [w for w in words if self.mark is None or MARK in w]
+        rest = [w for w in words if MARK not in w] if self.mark is not None else []
+        out = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
+        groups = [rest[i : i + GROUP_WORDS] for i in range(0, len(rest), GROUP_WORDS)]
+        joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*g, ""]) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined):
+            ids = np.array(found.ids, "<u4")
+            ends, whole = np.flatnonzero(ids == self.mark) * 4, ids.tobytes()
+            out |= {w: whole[a:b] for w, a, b in zip(group, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)}
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [BLANK.sub(" ", t).split(" ") for t in texts]
+        new = {w for words in split for w in words}.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {}
+            new = {w for words in split for w in words}
+        self.known |= self.coded(list(new))
+        out = [b"".join([*map(self.known.__getitem__, words), END]) for words in split]
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del self.known[w]
+        return out
+
+
+@functools.lru_cache(1)
+def word_coder(tokenizer_path: str) -> WordCoder:
+    """One per Python worker, kept from task to task."""
+    from tokenizers import Tokenizer
+
+    return WordCoder(Tokenizer.from_file(tokenizer_path))
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and a salt that spreads equal lengths."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer_path)
+        coder = word_coder(tokenizer_path)
 
         def rows(ids, texts):
-            for doc_id, found in zip(ids, coder.encode_batch_fast(texts, add_special_tokens=False)):
-                tokens = np.append(np.array(found.ids, "<u4"), np.uint32(END_ID)).astype("<u4")
-                for k, at in enumerate(range(0, len(tokens), limit)):
-                    part = tokens[at : at + limit].tobytes()
+            for doc_id, tokens in zip(ids, coder.ids(texts)):
+                for k, at in enumerate(range(0, len(tokens), 4 * limit)):
+                    part = tokens[at : at + 4 * limit]
                     crc = zlib.crc32(part)
-                    yield doc_id, k, at, len(part) // 4, crc, zlib.crc32(f"{doc_id}:{k}".encode(), crc)
+                    yield doc_id, k, at // 4, len(part) // 4, crc, zlib.crc32(f"{doc_id}:{k}".encode(), crc)
 
         def table(found):
             columns = list(zip(*found)) or [[]] * 6

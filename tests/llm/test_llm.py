@@ -109,6 +109,21 @@ def check_layout(rows):
     return len(bins)
 
 
+def test_words_coded_once_give_the_ids_of_whole_texts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    draw, letters = random.Random(3), "\x01\x02 \t\n\r\x0b\x1c\x85\xa0\u0301\u03a3aA1b.,;:!?\u00e9's\u0130<|endoftext|>\u4e2d\U0001f600\u3000\u200b"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)] + ["a<|endoftext|> b<|startoftext|>c.", "word., don't", "x" * 50_000]
+    coder = packing.WordCoder(tokenizer)
+    whole = [np.array([*found.ids, packing.END_ID], "<u4").tobytes() for found in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert coder.ids(texts) == whole
+    assert coder.ids(texts) == whole
+
+
 def test_packing_is_near_the_bound(spark):
     rows = queries.op10_pattern_packing(spark, DIR).collect()
     assert check_layout(rows) <= -(-sum(r.length for r in rows) // 4096) + 2
