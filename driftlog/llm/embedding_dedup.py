@@ -2,7 +2,8 @@
 
 Unit vectors are rotated by a fixed seeded rotation and split into blocks of about ``BLOCK_DIMS`` dimensions. Two
 vectors within squared distance D = 2 - 2 * cosine are within D / blocks in one block at least, so each block is
-range-joined on a grid: a vector lies in one cell and probes every cell that its block's ball of that budget meets.
+range-joined on a grid: a vector lies in one cell and probes every cell that its block's ball of that budget meets, and only
+vectors whose block distance keeps to the budget become a pair.
 The union of the candidates is verified by the exact cosine of the vectors as given, in double precision.
 
 Defined cases: only vectors of equal, non-null labels and equal length are compared; null, empty and zero vectors and those with
@@ -50,7 +51,9 @@ def probes(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, n
 
 
 def cells(nodes: DataFrame, cosine: float) -> DataFrame:
-    """(cell, id, own): each vector's cells in all its blocks; the cell's key also holds label, length and block."""
+    """(cell, id, own, budget, p0, ...): each vector's cells in all its blocks with the block's squared-distance budget and its first
+    ``BLOCK_DIMS`` coordinates (zeros where it has fewer); the cell's key also holds label, length and block."""
+    coordinates = [f"p{j}" for j in range(BLOCK_DIMS)]
 
     def run(batches):
         turned: dict[int, np.ndarray] = {}
@@ -74,9 +77,16 @@ def cells(nodes: DataFrame, cosine: float) -> DataFrame:
                     key = label[row] + np.uint64(b * int(GOLD) & 0xFFFFFFFFFFFFFFFF)
                     for j in range(cell.shape[1]):
                         key = mix(key + cell[:, j].astype(np.uint64) * GOLD)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[np.array(at)][row]), pa.array(own)], names=["cell", "id", "own"])
-
-    return nodes.select("id", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(run, "cell long, id long, own boolean")
+                    place = np.zeros((len(x), BLOCK_DIMS), np.float32)
+                    place[:, : min(len(part), BLOCK_DIMS)] = x[:, part[:BLOCK_DIMS]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(ids[np.array(at)][row]), pa.array(own), pa.array(np.full(len(row), (radius + 1e-5) ** 2)), *(pa.array(c[row]) for c in place.T)],
+                        names=["cell", "id", "own", "budget", *coordinates],
+                    )
+
+    return nodes.select("id", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(
+        run, "cell long, id long, own boolean, budget double, " + ", ".join(f"{c} float" for c in coordinates)
+    )
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
@@ -116,8 +126,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     grouped = keyed.where("print is not null").groupBy("label", "print").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     nodes = stored(grouped.withColumn("id", F.coalesce("vec_id", -1 - F.abs(F.xxhash64("label", "print")))))
     found = stored(cells(nodes, cosine))
-    build = found.where("own").select("cell", F.col("id").alias("b"))
-    pairs = found.select("cell", F.col("id").alias("a")).join(build, "cell").where("a < b").select("a", "b").distinct()
+    build = found.where("own").select("cell", F.col("id").alias("b"), *(F.col(f"p{j}").alias(f"q{j}") for j in range(BLOCK_DIMS)))
+    apart = " + ".join(f"(p{j} - q{j}) * (p{j} - q{j})" for j in range(BLOCK_DIMS))
+    pairs = found.drop("own").withColumnRenamed("id", "a").join(build, "cell").where(f"a < b and {apart} <= budget").select("a", "b").distinct()
     links = stored(verified(pairs, nodes, cosine))
     sized = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
