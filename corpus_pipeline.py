@@ -18,8 +18,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that spread over sites go from the texts; every document stays."""
-    return line_dedup.without_boilerplate(docs).select(*COLUMNS)
+    """Lines that spread over sites go from the texts, near copies counting as one document; documents left without text go."""
+    copies = minhash_dedup.near_duplicates(docs).select("doc_id", "component_id")
+    cut = line_dedup.without_boilerplate(docs, copies=copies)
+    return cut.where(r"lines_removed = 0 or text rlike '\\S'").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ the threshold get an exact distinct count. A line on ``MIN_SITES`` sites or more
 occurrences go but the first (smallest doc_id, then position), so no text leaves the corpus altogether. A line of
 ``LONG_WORDS`` words or more is a passage, whose sites are the documents themselves and whose threshold is two.
 
+Where a later stage removes near copies, ``copies`` names each document's group of them. A document then counts for the
+site of its group's original only, so that copies alone never make a text boilerplate, and a line that stays in its first
+document stays in that document's copies too, so that copies remain copies.
+
 Defined cases: lines are compared trimmed and lower-cased; lines without a letter or digit are kept; a null site is a site
 of the document's own; a null text stays null and an empty one empty; repeated rows of an id are one document, all
 cleaned alike; columns keep their order, others travel along; an empty table gives no rows.
@@ -12,7 +16,7 @@ cleaned alike; columns keep their order, others travel along; an empty table giv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -21,10 +25,11 @@ MIN_SITES, LONG_WORDS, NEAR = 3, 50, 2
 
 
 def spread(lines: DataFrame) -> DataFrame:
-    """hash, first (doc, at) of the lines that reach their threshold; ``lines`` has hash, long, doc, at, site."""
+    """hash, first (doc, at, family if any) of the lines that reach their threshold; ``lines`` has hash, long, doc, at, site."""
+    first = F.struct(*(c for c in ("doc", "at", "family") if c in lines.columns))
     sketched = stored(
         lines.groupBy("hash", "long")
-        .agg(F.hll_sketch_agg("site", F.lit(12)).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
+        .agg(F.hll_sketch_agg("site", F.lit(12)).alias("sketch"), F.count("*").alias("n"), F.min(first).alias("first"))
         .where("n > 1")
         .select("hash", "first", F.when(F.col("long"), 2).otherwise(MIN_SITES).alias("least"), F.hll_sketch_estimate("sketch").alias("sites"))
         .where(F.col("sites") >= F.col("least") - NEAR)
@@ -42,8 +47,22 @@ def spread(lines: DataFrame) -> DataFrame:
     return sketched.where(F.col("sites") > F.col("least") + NEAR).select("hash", "first").unionByName(near.join(exact, "hash", "left_semi").select("hash", "first"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
-    """``docs`` with the boilerplate lines cut from ``text`` and n_chars, where there is one, set anew."""
+def as_originals(lines: DataFrame, docs: DataFrame, site: str, copies: DataFrame) -> DataFrame:
+    """``lines`` with the site of the original of a document's group, and the group in ``family``."""
+    moved = copies.where("component_id <> doc_id").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min("component_id").alias("original"))
+    owns = docs.groupBy(F.col("doc_id").cast("long").alias("original")).agg(F.min(F.col(site).cast("string")).alias("theirs"))
+    moved = stored(moved.join(owns, "original", "left"))
+    there = F.when(F.col("long") | F.col("theirs").isNull(), F.concat(F.lit("d"), F.col("original").cast("string"))).otherwise(F.concat(F.lit("s"), "theirs"))
+    return lines.join(moved, "doc", "left").select(
+        "hash", "long", "doc", "print", "at", F.when(F.col("original").isNull(), F.col("site")).otherwise(there).alias("site"), F.coalesce("original", "doc").alias("family")
+    )
+
+
+def without_boilerplate(docs: DataFrame, site: str = "source", copies: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the boilerplate lines cut from ``text`` and n_chars, where there is one, set anew.
+
+    ``copies`` has doc_id and component_id, the smallest doc_id of the document's group of near copies.
+    """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     line = F.lower(F.trim("line"))
     cut = docs.where("text is not null").select(
@@ -60,10 +79,17 @@ def without_boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
             F.when(long | F.col("own").isNull(), F.concat(F.lit("d"), "key")).otherwise(F.concat(F.lit("s"), "own")).alias("site"),
         )
     )
+    if copies is None:
+        found = lines.join(stored(spread(lines)), "hash").where("not (doc <=> first.doc and at = first.at)")
+    else:
+        lines = stored(as_originals(lines, docs, site, copies))
+        found = (
+            lines.join(stored(spread(lines)), "hash")
+            .withColumn("again", F.row_number().over(Window.partitionBy("hash", "doc", "print").orderBy("at")) > 1)
+            .where("again or not family <=> first.family")
+        )
     drops = (
-        lines.join(stored(spread(lines)), "hash")
-        .where("not (doc <=> first.doc and at = first.at)")
-        .groupBy(F.col("doc").alias("_doc"), F.col("print").alias("_print"))
+        found.groupBy(F.col("doc").alias("_doc"), F.col("print").alias("_print"))
         .agg(F.collect_set("at").alias("_drop"))
     )
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_drop", i)), "\n")

@@ -260,3 +260,44 @@ def test_embeddings_odd_rows(spark):
     assert len(got) == len(rows) and got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[11] == (3, 1, False) and got[None] == (3, None, True)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 12))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_line_stage_leaves_one_of_each_planted_group(spark):
+    """Against a plain version: near copies are one document to the line stage, and near_dedup then finds them."""
+    random = np.random.default_rng(11)
+    word = lambda: "".join(random.choice(list("abcdefghijklmnop"), 6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    own = {i: [line(70), line(8), line(90), line(12), line(60)] for i in (1, 10, 20, 30, 40, 50, 60)}
+    passage, license = line(55), line(6)
+    texts = {i: list(t) for i, t in own.items()}
+    texts[2] = texts[3] = texts[4] = own[1]  # exact copies on four sites
+    texts[11] = [own[10][0].replace(" ", " x ", 1), *own[10][1:]]  # edited copies
+    texts[12] = [*own[10][:4], own[10][4] + " end"]
+    for i in (20, 30, 40):  # a passage and a license line of unrelated documents, one of them copied
+        texts[i] = [license, *own[i], passage]
+    texts[21] = list(texts[20])
+    texts[31] = [*texts[30], "more"]
+    texts[70] = [license, passage]  # nothing of its own
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", f"s{i}", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = corpus_pipeline.drop_boilerplate(spark, docs, "")
+    got = {r.doc_id: r.text for r in stage.collect()}
+    group = lambda i: i // 10 * 10 if i >= 10 else 1
+    want = {}
+    for i, t in texts.items():
+        groups = {x: sorted({group(d) for d, u in texts.items() if x in u}) for x in t}
+        want[i] = "\n".join(x for x in t if len(groups[x]) < (2 if len(x.split()) >= 50 else 3) or group(i) == groups[x][0])
+    assert got == {i: t for i, t in want.items() if t} and 70 not in got
+    assert license in got[21] and passage not in got[31] and got[1] == got[4] == "\n".join(own[1])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, stage, "").collect()) == sorted(own)
+
+
+def test_line_stage_keeps_links_of_copies(spark, docs):
+    by_text = collections.defaultdict(list)
+    for r in docs.values():
+        if r.text and r.text.strip():
+            by_text[r.text].append(r.doc_id)
+    stage = corpus_pipeline.drop_boilerplate(spark, spark.read.parquet(f"{DIR}/documents.parquet").select(*corpus_pipeline.COLUMNS), "")
+    got = {r.doc_id: r.text for r in stage.collect()}
+    groups = [ids for ids in by_text.values() if len(ids) > 1]
+    assert groups and all(len({got.get(i) for i in ids}) == 1 for ids in groups)
+    assert all(t.strip() for i, t in got.items() if (docs[i].text or "").strip())
