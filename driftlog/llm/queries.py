@@ -36,10 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law")
-    )
-    return sharding.shuffled_shards(docs, "doc_id", "size", 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    size = F.octet_length(text).cast("long") + 1
+    records = table(spark, sf_dir, "documents").withColumns({"size": size, "law": F.lit("key")})
+    shards = sharding.shuffled_shards(records, "doc_id", "size", 8)
+    return shards.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def shuffled_shards(docs: DataFrame, key: str, size: str, shards: int, seed: int
     starts = scattered.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     mixed = scattered.groupBy("_shard", "_bucket").agg(F.shuffle(F.sort_array(F.collect_list(F.struct("_draw", "_row"))), seed).alias("_rows"))
     return (
-        mixed.join(starts, ["_shard", "_bucket"])
+        mixed.join(F.broadcast(starts), ["_shard", "_bucket"])
         .select("_shard", "_from", F.posexplode("_rows").alias("_at", "_item"))
         .select("_item._row.*", F.col("_shard").alias("shard"), (F.col("_from") + F.col("_at")).alias("slot"))
         .withColumn("grown_shard", shard_of(F.col(key), shards + 1, seed))

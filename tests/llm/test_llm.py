@@ -301,3 +301,28 @@ def test_line_stage_keeps_links_of_copies(spark, docs):
     groups = [ids for ids in by_text.values() if len(ids) > 1]
     assert groups and all(len({got.get(i) for i in ids}) == 1 for ids in groups)
     assert all(t.strip() for i, t in got.items() if (docs[i].text or "").strip())
+
+
+def test_sharding_query_moves_whole_records(spark, docs, monkeypatch):
+    whole = sharding.shuffled_shards
+
+    def marked(records, *rest):
+        assert set(corpus_pipeline.COLUMNS) <= set(records.columns)
+        return whole(records, *rest).withColumn("text", F.concat("text", F.lit("+")))
+
+    monkeypatch.setattr(sharding, "shuffled_shards", marked)
+    want = {i: f"{r.text}+".encode() if r.text is not None else b"" for i, r in docs.items()}
+    got = {r.doc_id: (r.size, r.text_crc32) for r in queries.op5_sharding(spark, DIR).collect()}
+    assert got == {i: (len(t) + 1, zlib.crc32(t)) for i, t in want.items()}
+
+
+def test_written_shards_hold_every_text(spark, odd, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 14)
+    hot = [(7, f"row {i} " * 30, "en", "h", 1, 1, "") for i in range(3000)] + [(8, "long " * 1_000_000, "en", "h", 1, 1, "")]
+    rows = odd.unionByName(spark.createDataFrame(hot, SCHEMA)).drop("shard").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    sharding.write_shards(rows, str(tmp_path / "shards"), "doc_id", "size", 4)
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in back) == collections.Counter((r[0], r[1]) for r in ODD + hot)
+    assert len({r.shard for r in back if r.doc_id == 7}) == 1
+    for s in {r.shard for r in back}:
+        assert sorted(r.slot for r in back if r.shard == s) == list(range(sum(r.shard == s for r in back)))
