@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as token pieces with their places in the training sequences."""
+    """The texts as token pieces with their ids and places, read back from the training sequences."""
     import public_tokenizers
 
     return packing.packed(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))

@@ -1,10 +1,11 @@
 """Packing documents into sequences by length patterns fitted with non-negative least squares.
 
-``token_pieces`` tokenises whole texts in tasks and cuts only documents longer than a sequence. ``packed`` places the
+``token_pieces`` tokenises whole texts in tasks and cuts only documents longer than a sequence. ``placed`` places the
 pieces: their length histogram (at most one row per length, so at most ``limit`` rows) comes to the driver, patterns of two or
 three lengths that fill a sequence are fitted to it by non-negative least squares, repeat counts are rounded down, and
 what is left is filled largest first. A plan is a list of patterns with repeat counts, never a list of pieces: each
-piece finds its place from its rank among the pieces of its length.
+piece finds its place from its rank among the pieces of its length. ``sequences`` joins the pieces' token ids in the order
+of their places: its rows are what a training run reads, and ``packed`` takes every piece back out of them.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed once each; null ids are carried;
 an empty table gives no rows. Other columns are left alone.
@@ -30,7 +31,8 @@ BLANK = re.compile(r"[\t\n\r]")
 BLOCK_BYTES = 1 << 20
 RANK_ROWS = 500_000
 CACHE_WORDS, CACHE_CHARS = 1 << 20, 48
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
+PIECES = "doc_id long, piece int, start long, length long, salt long, ids binary"
+PLACED = ("doc_id", "piece", "start", "length", "offset")
 
 
 class WordCoder:
@@ -81,8 +83,18 @@ def word_coder(tokenizer_path: str) -> WordCoder:
     return WordCoder(Tokenizer.from_file(tokenizer_path))
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits in 16 bits each where all fit, for the way to their places; ``wide`` tells by the length."""
+    values = np.frombuffer(ids, "<u4")
+    return values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else ids
+
+
+def wide(ids: bytes, length: int) -> bytes:
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * length else ids
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and a salt that spreads equal lengths."""
+    """doc_id, piece, start, length, a salt that spreads equal lengths, and the token ids as of ``narrow``."""
 
     def run(batches):
         coder = word_coder(tokenizer_path)
@@ -91,25 +103,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
             for doc_id, tokens in zip(ids, coder.ids(texts)):
                 for k, at in enumerate(range(0, len(tokens), 4 * limit)):
                     part = tokens[at : at + 4 * limit]
-                    crc = zlib.crc32(part)
-                    yield doc_id, k, at // 4, len(part) // 4, crc, zlib.crc32(f"{doc_id}:{k}".encode(), crc)
+                    yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(f"{doc_id}:{k}".encode(), zlib.crc32(part)), narrow(part)
 
         def table(found):
             columns = list(zip(*found)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "salt", "ids"])
 
         for batch in batches:
-            ids, texts, held, size = [], [], [], 0
+            ids, texts, size = [], [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids.append(doc_id.as_py())
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
                 if size >= BLOCK_BYTES:
-                    held.extend(rows(ids, texts))
+                    yield table(rows(ids, texts))
                     ids, texts, size = [], [], 0
-            held.extend(rows(ids, texts))
-            yield table(held)
+            yield table(rows(ids, texts))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
@@ -197,9 +207,9 @@ def places(made: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The pieces with sequence_id and offset."""
-    pieces = stored(pieces)
+def placed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The pieces, ids included, with sequence_id and offset. ``pieces`` is stored under a row number; ids take no part in ranking."""
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
     counted = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``limit`` rows
     table = places(plan({r.length: r.n for r in counted}, limit))
     parts = 1 + sum(r.n for r in counted) // RANK_ROWS
@@ -210,19 +220,44 @@ def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             row = table[np.searchsorted(key, length << 44 | rank, "right") - 1]
             turn = rank - row[:, 1]
-            keep = [batch.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(row[:, 3] + turn // row[:, 2]), pa.array(row[:, 4] + turn % row[:, 2] * length)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [batch.column(0), pa.array(row[:, 3] + turn // row[:, 2]), pa.array(row[:, 4] + turn % row[:, 2] * length)], names=["row", "sequence_id", "offset"]
             )
 
-    salted = pieces.withColumn("part", F.pmod("salt", F.lit(parts)))
+    salted = pieces.select("row", "doc_id", "piece", "length", "salt", F.pmod("salt", F.lit(parts)).alias("part"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "part").orderBy("salt", "doc_id", "piece")
-    ranked = stored(
-        salted.withColumn("own", F.row_number().over(own) - 1)
-        .join(starts, ["length", "part"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("own")).alias("rank"))
+    own = Window.partitionBy("length", "part").orderBy("salt", "doc_id", "piece", "row")
+    ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(starts, ["length", "part"]).select("row", "length", (F.col("first") + F.col("own")).alias("rank"))
+    found = stored(ranked.mapInArrow(put, "row long, sequence_id long, offset long"))
+    return pieces.join(found, "row").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id, ids (the sequence's token ids as little-endian 32-bit bytes) and its pieces by offset; ``pieces`` come from ``placed``."""
+    listed = f"array<struct<{', '.join(f'{c}: {dict(pieces.dtypes)[c]}' for c in PLACED)}>>"
+    items = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length", "ids")))
+
+    def run(batches):
+        for batch in batches:
+            parts = batch.column(1)
+            flat, ends = parts.flatten(), np.r_[0, np.cumsum(parts.value_lengths().to_numpy())]
+            ids = [*map(wide, flat.field("ids").to_pylist(), flat.field("length").to_pylist())]
+            pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([flat.field(c) for c in PLACED], names=list(PLACED)))
+            whole = pa.array([b"".join(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), whole, pieces], names=["sequence_id", "ids", "pieces"])
+
+    return pieces.groupBy("sequence_id").agg(items.alias("items")).mapInArrow(run, f"sequence_id long, ids binary, pieces {listed}")
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """Every piece of ``sequences`` with its place, its ids cut from the sequence, and their checksum."""
+    one = rows.select("sequence_id", F.col("ids").alias("whole"), F.explode("pieces").alias("p")).select(
+        "p.*", "sequence_id", F.expr("substring(whole, cast(4 * p.offset + 1 as int), cast(4 * p.length as int))").alias("ids")
     )
-    return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return one.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
+
+
+def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The pieces with sequence_id and offset, read back from the sequences written."""
+    return contents(stored(sequences(placed(pieces, limit))))

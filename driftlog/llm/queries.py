@@ -91,7 +91,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.packed(pieces)
+    return packing.packed(pieces).drop("ids")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}

@@ -326,3 +326,27 @@ def test_written_shards_hold_every_text(spark, odd, monkeypatch, tmp_path):
     assert len({r.shard for r in back if r.doc_id == 7}) == 1
     for s in {r.shard for r in back}:
         assert sorted(r.slot for r in back if r.shard == s) == list(range(sum(r.shard == s for r in back)))
+
+
+def test_sequences_hold_the_token_ids(spark, odd, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, want = Tokenizer.from_file(path), collections.Counter()
+    for doc_id, text, *_ in ODD:
+        ids = coder.encode(text or "", add_special_tokens=False).ids + [1]
+        want.update((doc_id, k // 4096, tuple(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    got, rows = collections.Counter(), packing.sequences(packing.placed(packing.token_pieces(odd, path))).collect()
+    for r in rows:
+        whole = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(whole) == sum(p.length for p in r.pieces) <= 4096
+        got.update((p.doc_id, p.piece, tuple(whole[p.offset : p.offset + p.length])) for p in r.pieces)
+    assert got == want and len({r.sequence_id for r in rows}) == len(rows)
+    for ids in ([], [1, 65535], [65536, 7]):
+        plain = np.array(ids, "<u4").tobytes()
+        assert packing.wide(packing.narrow(plain), len(ids)) == plain
+    assert packing.sequences(packing.placed(packing.token_pieces(none, path))).count() == 0
+    out = packing.packed(packing.token_pieces(odd, path)).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in out)
+    assert collections.Counter((r.doc_id, r.piece, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in out) == want
