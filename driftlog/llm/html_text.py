@@ -2,9 +2,10 @@
 
 The standard library's parser streams a page's events; block tags cut it into lines, each with the text, its tags and its
 links counted. Parts that markup names as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments never become lines. The lines' text-to-tag ratios are smoothed along the page; lines at or over the
-threshold are seeds, and the containers that hold seeds (those inside an article or main element, where there is one) are
-the content regions: all their lines stay, short ones too, but for lines that are mostly links.
+reader comments never become lines; ids, classes and roles name such parts on elements that group others only (``GROUPS``).
+Where a page has an article or main element, these are the content regions and all their lines stay. Elsewhere the
+lines' text-to-tag ratios are smoothed along the page; lines at or over the threshold are seeds, and the containers that
+hold seeds are the content regions: all their lines stay, short ones too, but for lines that are mostly links.
 
 Defined cases: null and empty pages give an empty text; broken nesting is closed at the next matching end; an article's own
 header, and its headings, stay; repeated rows are extracted each; other columns are left alone.
@@ -29,6 +30,7 @@ NAMED = re.compile(
 )
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CONTAINERS = {"html", "body", "article", "main", "section", "div"}
+GROUPS = {"section", "div", "ul", "ol", "dl", "table", "details", "fieldset", "center"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SPACE = re.compile(r"\s+")
 
@@ -64,7 +66,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        own = tag in SKIPPED or (tag == "header" and not article) or (tag not in ("html", "body", "article", "main") and bool(NAMED.search(named)))
+        own = tag in SKIPPED or (tag == "header" and not article) or (tag in GROUPS and bool(NAMED.search(named)))
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
@@ -104,7 +106,7 @@ def main_text(html: str | None) -> str:
     page.cut()
     lines = page.lines
     if any(line[4] for line in lines):
-        lines = [line for line in lines if line[4]]
+        return "\n".join(line[0] for line in lines if line[4])
     if not lines:
         return ""
     ratio = np.array([(len(text) - min(linked, len(text))) / max(1, tags) for text, tags, linked, *_ in lines])

@@ -350,3 +350,14 @@ def test_sequences_hold_the_token_ids(spark, odd, none):
     out = packing.packed(packing.token_pieces(odd, path)).collect()
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in out)
     assert collections.Counter((r.doc_id, r.piece, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in out) == want
+
+
+def test_html_keeps_all_of_an_article():
+    long = [f"{i} " + "word " * 120 + "end" for i in range(5)]
+    page = (
+        "<body><div class=ad>buy</div><article><header class='header'><h1>Title</h1></header><section><h2 id='search'>Intro</h2><p class='side note'>Sixty characters or so of a first paragraph, no more.</p></section>"
+        "<section><h2>Rest</h2>" + "".join(f"<p>{t}</p>" for t in long) + "<p><a href=x>A source that is all link</a></p><div class=share>tell</div></section></article><p>outside</body>"
+    )
+    assert html_text.main_text(page).split("\n") == ["Title", "Intro", "Sixty characters or so of a first paragraph, no more.", "Rest", *long, "A source that is all link"]
+    plain = "<div><p><a href=x>link</a></p></div><div><p id=related>" + long[0] + "</p><p><a href=y>more</a></p></div>"
+    assert html_text.main_text(plain) == long[0]
