@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 16
+BROADCAST_ROWS = 250_000  # rows of two numbers that a join may send to every task (a few MB); larger sides are dealt out with salts
+_scratch: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share, ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="driftlog-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -25,6 +34,8 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._driftlog_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
@@ -35,17 +46,63 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Decorates a function that returns a DataFrame: its result is stored, and the tables stored on the way there are deleted."""
+
+    @functools.wraps(build)
+    def run(*args, **kwargs) -> DataFrame:
+        _scratch.append([])
+        try:
+            out, kept = build(*args, **kwargs), _scratch[-1]
+            _scratch[-1] = []
+            out = stored(out)
+        except BaseException:
+            _scratch.pop()
+            raise
+        _scratch.pop()
+        if _scratch:
+            _scratch[-1].append(out)
+        for table in kept:
+            forget(table)
+        return out
+
+    return run
+
+
+def arrow_texts(column: pa.Array) -> Iterator[bytes]:
+    """The values of a binary column one by one, null as empty: no copy of the whole batch is made."""
+    for value in column:
+        yield value.as_py() or b""
+
+
+def release() -> None:
+    """Gives freed Arrow memory back, so that a reused Python worker does not keep the peak of its largest batch."""
+    pa.default_memory_pool().release_unused()
+
+
+def dealt(big: DataFrame, small: DataFrame, on: list[str], rows: int, spread: Column, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` of ``rows`` rows, unique in ``on``, where a few keys may hold most rows of ``big``.
+
+    A small side of a checked size is broadcast; a larger one meets ``big`` under ``SALTS`` salts of each key, so that no key is
+    one task's work.
+    """
+    if rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long); component is the smallest node reachable.
 
     Alternates large-star and small-star steps, so that chains and stars of any size settle in a logarithmic
-    number of rounds. Only minima are gathered per node: a node with many neighbours is a skewed join,
+    number of rounds. Only minima are gathered per node, and a node with many neighbours is dealt out over salts,
     never one group in one task. Nulls and self-loops are ignored; no edges give no rows.
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, rows: int) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return pairs.join(least, "u")
+        return dealt(pairs, least, ["u"], 2 * rows, F.col("v"))
 
     def mark(table: DataFrame) -> tuple:
         return tuple(table.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
@@ -58,15 +115,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = star(large)
+        large = star(both, before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = star(large, before[0])
         new = stored(
             small.select("u", F.col("m").alias("v"))
             .unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
         after = mark(new)
-        forget(now)
         now = new
         if after == before:
             break

@@ -6,12 +6,14 @@ reachable over links (itself included) and whether it is that one. Two texts are
 
 Defined cases: null, empty or wordless texts have an empty set and no links; fewer than five words are one
 shingle; equal sets are one node, however many copies there are; rows with a null id keep their own row with a
-null component and stay kept. Ids are expected to name one text: repeated rows are harmless, but of an id with several
-texts one text's links count. Other columns are left alone, an empty table gives an empty result.
-
-Scale: copies collapse by an aggregation before anything is paired. A band's bucket never emits all its pairs:
-first every member is tied to the next larger one only, and after the components of these links only members that
-are still in different components meet. Texts travel only for members of a bucket of two or more.
+null component and stay kept. Repeated rows are harmless; an id with several texts is a row for each of them, placed by its own
+text's links. Other columns are left alone, an empty table gives an empty result.
+
+Scale: copies collapse by an aggregation before anything is paired. A band's bucket never emits all its pairs: its members are
+dealt over ``SALTS`` sub-buckets and tied to the next larger one there, and the sub-buckets' least members are tied to each
+other. After the components of these links only buckets that still hold several components are compared further, in square blocks
+of at most ``2 * BLOCK`` members, whose registers meet in the tasks' memory; only pairs that the estimate lets through leave a block.
+Texts travel only for members of a bucket of two or more.
 """
 
 from __future__ import annotations
@@ -21,51 +23,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import SALTS, arrow_texts, connected_components, release, settled, stored
 from .shingles import SetSketch, mix, shingle_sets
 
 WORDS, PERCENT = 5, 75
 REGISTERS, ROWS = 384, 6  # 64 bands of 6: a pair at 0.75 meets in none with a chance of 4e-6
 SLACK = 0.14  # six standard deviations of the estimate at 0.75
+BLOCK = 512  # members on a side of the square blocks in which open buckets are compared
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, two 64-bit fingerprints of the whole set, and its registers."""
+    """id, a hash of the text, n_shingles, two 64-bit fingerprints of the whole set, and its registers."""
     sketch = SetSketch(REGISTERS)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             n, one, two, regs = [], [], [], []
-            for s in shingle_sets(texts, WORDS):
+            for s in shingle_sets(arrow_texts(batch.column(2)), WORDS):
                 n.append(len(s))
                 one.append(int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0)
                 two.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
                 regs.append(sketch.registers(s).tobytes() if len(s) else None)
+            release()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)), pa.array(regs, pa.binary())],
-                names=["id", "n_shingles", "one", "two", "registers"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)), pa.array(regs, pa.binary())],
+                names=["id", "print", "n_shingles", "one", "two", "registers"],
             )
 
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return read.mapInArrow(run, "id long, n_shingles long, one long, two long, registers binary")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "id long, print long, n_shingles long, one long, two long, registers binary")
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).cast("binary").alias("text"))
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
-    """(band, id, n): one row per node and band; the band key holds its number and its six registers."""
+    """(band, node, n): one row per node and band; the band key holds its number and its six registers."""
 
     def run(batches):
         for batch in batches:
-            k = batch.num_rows
-            if not k:
-                continue
-            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(k, -1, ROWS).astype(np.int64)
-            bands = regs.shape[1]
-            key = (regs << (8 * np.arange(ROWS))).sum(2) | (np.arange(bands) << (8 * ROWS))
-            each = lambda c: pa.array(np.repeat(c.to_numpy(), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), each(batch.column(0)), each(batch.column(1))], names=["band", "id", "n"])
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                regs = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1, ROWS).astype(np.int64)
+                bands = regs.shape[1]
+                key = (regs << (8 * np.arange(ROWS))).sum(2) | (np.arange(bands) << (8 * ROWS))
+                each = lambda c: pa.array(np.repeat(c.to_numpy(), bands))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), each(part.column(0)), each(part.column(1))], names=["band", "node", "n"])
 
-    return nodes.select("id", "n", "registers").mapInArrow(run, "band long, id long, n long")
+    return nodes.select("node", "n", "registers").mapInArrow(run, "band long, node long, n long")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,14 +79,13 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            regs = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 4)]
-            n = [batch.column(i).to_numpy().astype(float) for i in (3, 5)]
-            keep = pa.array(sketch.jaccard(*regs, *n) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                regs = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 4)]
+                keep = pa.array(sketch.jaccard(*regs, *(part.column(i).to_numpy().astype(float) for i in (3, 5))) >= least)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "na", "rb", "nb")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -91,77 +95,100 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                two = [shingle_sets(part.column(i).to_pylist(), WORDS) for i in (2, 3)]
-                keep = []
-                for x, y in zip(*two):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(bool(both) and 100 * both >= PERCENT * (len(x) + len(y) - both))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
+            keep = []
+            for x, y in zip(*(shingle_sets(arrow_texts(batch.column(i)), WORDS) for i in (2, 3))):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(both) and 100 * both >= PERCENT * (len(x) + len(y) - both))
+            release()
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def tied_neighbours(members: DataFrame) -> DataFrame:
+    """(a, b) for each member of a bucket and the next larger one of its sub-bucket, and for the least ones of a bucket's sub-buckets."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+
+    def chain(rows: DataFrame, *keys: str) -> DataFrame:
+        before = F.lag(F.struct("node", "n")).over(Window.partitionBy(*keys).orderBy("n", "node"))
+        return rows.select("node", "n", before.alias("before")).where(f"100 * before.n >= {PERCENT} * n")
+
+    heads = salted.groupBy("band", "salt").agg(F.min(F.struct("n", "node")).alias("head")).select("band", "head.n", "head.node")
+    pairs = chain(salted, "band", "salt").unionByName(chain(heads, "band"))
+    return pairs.select(F.least("before.node", "node").alias("a"), F.greatest("before.node", "node").alias("b")).distinct()
+
+
+def across_components(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of all likely pairs within buckets whose members are in different components, compared in square blocks.
+
+    ``placed`` has band, node, n, component. A bucket of k members is cut into k / BLOCK parts by a hash; each pair of parts meets in one
+    group, and a group holds about 2 * BLOCK rows however large its bucket is.
+    """
+    sketch, least = SetSketch(REGISTERS), PERCENT / 100 - SLACK
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high")
+    cut = placed.join(split.select("band", "k"), "band").withColumn("parts", F.col("k").cast("int") / BLOCK + 1).withColumn("parts", F.col("parts").cast("int"))
+    own = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component")
+    rows = rows.join(nodes.select("node", "registers"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, node, n, component = (group.column(c).to_numpy() for c in ("own", "node", "n", "component"))
+        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
+        one, two = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        found = []
+        for x in one:
+            y = two[(component[two] != component[x]) & (100 * np.minimum(n[two], n[x]) >= PERCENT * np.maximum(n[two], n[x])) & ((own[x] != own[two]) | (node[x] < node[two]))]
+            for start in range(0, len(y), 1024):
+                part = y[start : start + 1024]
+                likely = sketch.jaccard(np.broadcast_to(regs[x], (len(part), regs.shape[1])), regs[part], np.full(len(part), float(n[x])), n[part].astype(float)) >= least
+                found += [(min(node[x], v), max(node[x], v)) for v in node[part[likely]]]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+@settled
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, n_shingles, component_id, kept; see the module's text."""
     signed = stored(signatures(docs, id_col, text_col))
+    keys = ["one", "two", "n_shingles"]
     nodes = stored(
         signed.where("n_shingles > 0 and id is not null")
-        .groupBy("one", "two", F.col("n_shingles").alias("n"))
-        .agg(F.min("id").alias("id"), F.first("registers").alias("registers"))
-    )
-    bucket = Window.partitionBy("band")
-    ordered = bucket.orderBy("n", "id")
-    members = stored(
-        band_rows(nodes)
-        .withColumn("before", F.lag(F.struct("id", "n")).over(ordered))
-        .withColumn("after", F.lead("id").over(ordered))
-        .where("before is not null or after is not null")
-        .select("band", "id", "n", "before")
+        .groupBy(*keys)
+        .agg(F.min(F.struct("id", "print")).alias("least"), F.first("registers").alias("registers"))
+        .select(*keys, "least.id", "least.print", F.col("n_shingles").alias("n"), "registers", F.monotonically_increasing_id().alias("node"))
     )
-    ids = members.select("id").distinct()
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    texts = stored(read.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-
-    chain = (
-        members.where(f"before is not null and 100 * before.n >= {PERCENT} * n and before.id <> id")
-        .select(F.least("before.id", "id").alias("a"), F.greatest("before.id", "id").alias("b"))
-        .distinct()
-    )
-    chain = stored(chain)
+    banded = band_rows(nodes)
+    shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    members = stored(stored(banded).join(stored(shared), "band", "left_semi"))
+    ids = members.select("node").distinct().join(nodes.select("node", "id", "print"), "node")
+    texts = stored(texts_of(docs, id_col, text_col).join(ids, ["id", "print"]).dropDuplicates(["node"]).select("node", "text"))
+
+    chain = stored(tied_neighbours(members))
     links = stored(verified(likely(chain, nodes), texts))
     tied = stored(connected_components(links.toDF("u", "v")))
 
-    def named(rows: DataFrame, by: DataFrame) -> DataFrame:
-        return rows.join(by.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    placed = named(members.select("band", "id", "n"), tied)
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_rows = stored(placed.join(split, "band", "left_semi"))
-    one, two = open_rows.toDF("id", "band", "n", "component"), open_rows.toDF("id2", "band", "n2", "component2")
-    across = (
-        one.join(two, "band")
-        .where(f"component < component2 and 100 * least(n, n2) >= {PERCENT} * greatest(n, n2)")
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        .distinct()
-        .join(chain, ["a", "b"], "left_anti")
-    )
-    more = stored(verified(likely(across, nodes), texts))
-    joined = tied.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(
-        named(named(more.select(F.col("a").alias("id"), "b"), tied).select(F.col("b").alias("id"), F.col("component").alias("u")), tied).select("u", F.col("component").alias("v"))
-    )
-    final = connected_components(joined)
-    classes = named(nodes.select("one", "two", F.col("n").alias("n_shingles"), "id"), final).drop("id")
+    def named(rows: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
+        by = tied.toDF(node, component)
+        return rows.join(by, node, "left").withColumn(component, F.coalesce(component, node))
+
+    across = across_components(named(members), nodes).join(chain, ["a", "b"], "left_anti")
+    more = stored(verified(stored(across), texts))
+    if more.isEmpty():
+        final = tied
+    else:
+        joined = named(named(more, "a", "u"), "b", "v").select("u", "v")
+        final = stored(connected_components(tied.toDF("u", "v").unionByName(joined)))
+    classes = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("id").alias("least"))
+    placed = classes.join(least, "component").select(*keys, "least")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     return (
         signed.drop("registers")
-        .join(classes, ["one", "two", "n_shingles"], "left")
-        .select(
-            F.col("id").alias(id_col),
-            "n_shingles",
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-            F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
-        )
+        .join(placed, keys, "left")
+        .select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+EDGE = re.compile(rb"[\x09-\x0d ]")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,38 +38,55 @@ def powers(n: int) -> list[np.ndarray]:
     return _power
 
 
-def blocks(texts: list) -> Iterator[tuple[int, list[bytes]]]:
-    """(first index, texts) of about BLOCK_BYTES each; null is empty."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(text or b"")
-        size += len(held[-1])
-        if size >= BLOCK_BYTES:
-            yield start, held
-            start, held, size = i + 1, [], 0
+def blocks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about BLOCK_BYTES each; a longer text is a run of its own."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
     if held:
-        yield start, held
+        yield held
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all words of a block (A-Z lower-cased, split at ASCII white space), and where each text's words begin."""
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about BLOCK_BYTES, cut at white space only: no word is cut."""
+    at = 0
+    while at < len(text):
+        end = at + BLOCK_BYTES
+        if end < len(text):
+            blank = EDGE.search(text, end)
+            end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a block (A-Z lower-cased, split at ASCII white space), and where each text's words begin (one more entry at the end)."""
+    if len(texts) == 1 and len(texts[0]) > 2 * BLOCK_BYTES:
+        hashes = np.concatenate([hashed([part])[0] for part in pieces(texts[0])])
+        return hashes, np.array([0, len(hashes)])
+    return hashed(texts)
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    low = LOWER[raw]
     space = SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     power, inverse = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[low] * power[: len(raw)], out=total[1:])
+    np.cumsum(BYTE[LOWER[raw]] * power[: len(raw)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    offsets = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    return hashes, starts - 1, ends - 1, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
 
 
-def shingle_sets(texts: list, k: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[bytes], k: int = 5) -> Iterator[np.ndarray]:
     """Each text's set of distinct k-word shingles as sorted 64-bit hashes; the whole sequence is one shingle where it is shorter."""
-    for _, block in blocks(texts):
-        hashes, _, _, first = words(block)
+    for block in blocks(texts):
+        hashes, first = words(block)
         n = len(hashes)
         rolled = np.zeros(max(0, n - k + 1), np.uint64)
         if n >= k:

@@ -12,12 +12,14 @@ rejects nothing; repeated rows count as often as they occur; other columns are l
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_texts, forget, release, stored
 from .shingles import blocks, words
 
 BUCKETS, FEATURES = 1 << 18, 1024
@@ -26,14 +28,12 @@ LEAST_Z = 3.0  # standard errors between the shares of a word in both outcomes
 PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() and c not in (9, 10, 11, 12, 13) else c for c in range(256))
 
 
-def word_sets(texts: list) -> list[np.ndarray]:
-    """Each text's distinct words as bucket numbers."""
-    found = []
-    for _, block in blocks([(t or b"").translate(PUNCTUATION) for t in texts]):
-        hashes, _, _, first = words(block)
-        slot = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-        found += [np.unique(slot[first[i] : first[i + 1]]) for i in range(len(block))]
-    return found
+def word_sets(texts: Iterable[bytes]) -> Iterator[list[np.ndarray]]:
+    """Each text's distinct words as bucket numbers, one block of texts at a time."""
+    for block in blocks(t.translate(PUNCTUATION) for t in texts):
+        hashes, first = words(block)
+        slot = (hashes % np.uint64(BUCKETS)).astype(np.int32)
+        yield [np.unique(slot[first[i] : first[i + 1]]) for i in range(len(block))]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -89,7 +89,9 @@ class Chain:
             hit = np.cumsum(y[known][order])
             precision, recall = hit / np.arange(1, len(hit) + 1), hit / hit[-1]
             score = 1.25 * precision * recall / np.maximum(1e-12, 0.25 * precision + recall)  # precision counts twice
-            self.thresholds.append(max(0.5, float(out[known][order][int(score.argmax())]) * 0.98))
+            ranked, best = out[known][order], int(score.argmax())
+            below = ranked[best + 1] if best + 1 < len(ranked) else 0.0
+            self.thresholds.append(max(0.5, float(ranked[best] + below) / 2))  # halfway to the next score
             self.models.append(fit(known))
             dense = np.column_stack([dense, out])
 
@@ -120,7 +122,8 @@ def train(labelled: DataFrame, categories: list[str]) -> Chain:
 
     def slim(batches):
         for batch in batches:
-            words_of = [s.astype(np.int32).tobytes() for s in word_sets(batch.column(0).to_pylist())]
+            words_of = [s.tobytes() for sets in word_sets(arrow_texts(batch.column(0))) for s in sets]
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(words_of, pa.binary()), *batch.columns[1:]], names=["words", *categories, "draw"])
 
     read = stored(read.mapInArrow(slim, "words binary, " + marks).orderBy("draw").limit(SAMPLE_ROWS))
@@ -156,6 +159,7 @@ def train(labelled: DataFrame, categories: list[str]) -> Chain:
     chosen = np.zeros(BUCKETS, bool)
     chosen[[r.bucket for r in best]] = True
     rows = read.mapInArrow(sets, "words array<long>, " + marks).collect()  # at most SAMPLE_ROWS
+    forget(read)
     scales = np.zeros((k, FEATURES))
     for i in range(k):
         for j, r in enumerate(best):
@@ -171,7 +175,8 @@ def scored(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            p = chain(word_sets(batch.column(1).to_pylist())) if batch.num_rows else np.zeros((0, len(categories)))
+            p = np.concatenate([np.zeros((0, len(categories))), *map(chain, word_sets(arrow_texts(batch.column(1))))])
+            release()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(p[:, i]) for i in range(len(categories))), pa.array(p[:, -1] >= limit)],
                 names=["doc_id", *(f"p_{c}" for c in categories), "rejected"],
@@ -187,9 +192,10 @@ def clean(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array(chain(word_sets(texts))[:, -1] < limit))
+            texts = arrow_texts(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()))
+            keep = np.concatenate([np.zeros(0, bool), *(chain(sets)[:, -1] < limit for sets in word_sets(texts))])
+            release()
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftlog.llm import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, packing, queries, sharding, toxicity
+from driftlog.llm import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, packing, queries, sharding, shingles, toxicity
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, _extra string"
@@ -168,6 +168,44 @@ def test_minhash_equals_brute_force(spark, docs, odd, none):
     assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
+def test_minhash_tells_texts_of_one_id_apart(spark):
+    own = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    rows = [(1, own["a"]), (1, own["b"]), (2, own["a"] + " x"), (3, own["b"] + " x"), (4, own["c"]), (4, own["c"]), (None, own["c"])]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+
+
+def test_minhash_compares_open_buckets_in_blocks(spark, monkeypatch):
+    """Documents of one template share bands without being near; blocks smaller than the buckets must lose no link."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+    random = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in random.choice(120, 5 if i % 3 else 2, replace=False):
+            w[k] = f"v{i % 20}_{k}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    low = {i: i for i in sets}
+    for _ in range(60):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == low and 1 < len(set(low.values())) < 60
+
+
+def test_a_text_longer_than_a_block_has_the_words_of_its_parts(monkeypatch):
+    random = np.random.default_rng(1)
+    text = b" ".join(b"x" * int(n) for n in random.integers(1, 60, 400)) + b"\t" + b"y" * 5000
+    whole = list(shingles.shingle_sets([text, b"a b"]))
+    monkeypatch.setattr(shingles, "BLOCK_BYTES", 256)
+    for one, two in zip(whole, shingles.shingle_sets([text, b"a b"])):
+        assert (one == two).all()
+
+
 def test_language_held_out_accuracy(spark, docs, odd):
     rows = queries.op9_language_id(spark, "/root/testdata/sf0.01").collect()
     real = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
@@ -201,6 +239,27 @@ def test_line_dedup(spark, odd, none):
     assert got == {1: "own one\nShared line", 2: "own two", 3: f"own three\n{long}", 4: "own four\n--", 5: "own five\n--", 6: "own six\n--", 7: None, 8: ""}
 
 
+def test_line_dedup_equals_a_plain_version(spark, docs):
+    """One rule for lines of every length: two distinct sites; a column of the operator's own names gives way or travels."""
+    random = np.random.default_rng(4)
+    lines = [" ".join(str(w) for w in random.integers(0, 99, n)) for n in (1, 2, 3, 9, 55, 60, 80)] + ["--", " ", "\u00c9t\u00c9"]
+    rows = [(i, "\n".join(lines[int(k)] for k in random.integers(0, len(lines), int(random.integers(0, 6)))) + f"\nown {i}", f"s{random.integers(0, 3)}" if i % 7 else None, i) for i in range(60)]
+    rows += [(100, "paragraph " * 60, "s1", 0), (101, "paragraph " * 60, "s1", 0), (102, "x\n" * 20_000 + "own", "s1", 0), (103, "x\nend", "s2", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit("kept") for c in ("_drop", "_doc", "_row", "one", "at", "lines_removed")})
+    seen = collections.defaultdict(list)
+    plain = lambda x: x.strip(" ").lower()
+    for i, text, site, _ in rows:
+        for at, x in enumerate(text.split("\n")):
+            seen[plain(x)].append((i, at, site or f"d{i}"))
+    goes = lambda i, at, x: any(c.isalnum() for c in x) and len({s for *_, s in seen[plain(x)]}) >= 2 and (i, at) != min(seen[plain(x)])[:2]
+    want = {i: "\n".join(x for at, x in enumerate(text.split("\n")) if not goes(i, at, x)) for i, text, *_ in rows}
+    got = line_dedup.without_boilerplate(df)
+    assert got.columns == [*df.columns[:-1], "lines_removed"]
+    got = got.collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r._drop == r._doc == "kept" and r.n_chars == len(r.text) for r in got if r.lines_removed)
+    assert want[101] == rows[61][1] and want[102].count("x") == 1 and want[103] == "end"
+
+
 def test_decontamination(spark, odd, none):
     item = "the quick brown fox jumps over the lazy dog while seven wizards mix potions in a very old copper kettle by the sea"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short")], "item_id long, text string")
@@ -285,7 +344,7 @@ def test_line_stage_leaves_one_of_each_planted_group(spark):
     want = {}
     for i, t in texts.items():
         groups = {x: sorted({group(d) for d, u in texts.items() if x in u}) for x in t}
-        want[i] = "\n".join(x for x in t if len(groups[x]) < (2 if len(x.split()) >= 50 else 3) or group(i) == groups[x][0])
+        want[i] = "\n".join(x for x in t if len(groups[x]) < 2 or group(i) == groups[x][0])
     assert got == {i: t for i, t in want.items() if t} and 70 not in got
     assert license in got[21] and passage not in got[31] and got[1] == got[4] == "\n".join(own[1])
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, stage, "").collect()) == sorted(own)
