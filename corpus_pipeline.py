@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftlog.llm import decontamination, line_dedup, minhash_dedup, packing, toxicity
-from driftlog.llm.common import stored
+from driftlog.llm.common import forget, settled, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,16 +19,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that spread over sites go from the texts, near copies counting as one document; documents left without text go."""
+    """Lines that repeat across documents go from all but the first, each document with its near copies being a site; documents left without text go.
+
+    A source of this corpus may hold a third of all rows, so it says too little of a line's spread to be the site here.
+    """
     copies = minhash_dedup.near_duplicates(docs).select("doc_id", "component_id")
-    cut = line_dedup.without_boilerplate(docs, copies=copies)
+    cut = line_dedup.without_boilerplate(docs, site=None, copies=copies)
     return cut.where(r"lines_removed = 0 or text rlike '\\S'").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays: the one with the smallest id, of its repeated rows one.
+
+    Rows with a null id, and rows whose text has no word, belong to no group and stay. Of an id with several texts each text
+    goes or stays by its own group.
+    """
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    classes = minhash_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    member = classes.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    named = rows.where("doc_id is not null").select("row", "doc_id").join(member, "row")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
+    gone = named.select("row").join(stays, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, settled(stage)(spark, docs, sf_dir)
+        if hasattr(before, "_driftlog_path"):
+            forget(before)
     return docs
