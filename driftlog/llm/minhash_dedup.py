@@ -12,7 +12,7 @@ text's links. Other columns are left alone, an empty table gives an empty result
 Scale: copies collapse by an aggregation before anything is paired. A band's bucket never emits all its pairs: its members are
 dealt over ``SALTS`` sub-buckets and tied to the next larger one there, and the sub-buckets' least members are tied to each
 other. After the components of these links only buckets that still hold several components are compared further, in square blocks
-of at most ``2 * BLOCK`` members, whose registers meet in the tasks' memory; only pairs that the estimate lets through leave a block.
+of bounded size whose members meet in a task's memory; only links leave a block.
 Texts travel only for members of a bucket of two or more.
 """
 
@@ -29,7 +29,8 @@ from .shingles import SetSketch, mix, shingle_sets
 WORDS, PERCENT = 5, 75
 REGISTERS, ROWS = 384, 6  # 64 bands of 6: a pair at 0.75 meets in none with a chance of 4e-6
 SLACK = 0.14  # six standard deviations of the estimate at 0.75
-BLOCK = 512  # members on a side of the square blocks in which open buckets are compared
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # members and shingles on a side of the square blocks in which open buckets are compared
+GROUP = 1 << 16  # members of connected open buckets that are compared as one group
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +110,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def tied_neighbours(members: DataFrame) -> DataFrame:
     """(a, b) for each member of a bucket and the next larger one of its sub-bucket, and for the least ones of a bucket's sub-buckets."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node", "band"), F.lit(SALTS)))  # another one in each band, so that the sub-buckets overlap
 
     def chain(rows: DataFrame, *keys: str) -> DataFrame:
         before = F.lag(F.struct("node", "n")).over(Window.partitionBy(*keys).orderBy("n", "node"))
@@ -120,35 +121,58 @@ def tied_neighbours(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("before.node", "node").alias("a"), F.greatest("before.node", "node").alias("b")).distinct()
 
 
-def across_components(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) of all likely pairs within buckets whose members are in different components, compared in square blocks.
+def across_components(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between components of ``placed`` (band, node, n, component) whose members share a bucket, one for each a and foreign component.
 
-    ``placed`` has band, node, n, component. A bucket of k members is cut into k / BLOCK parts by a hash; each pair of parts meets in one
-    group, and a group holds about 2 * BLOCK rows however large its bucket is.
+    Members of buckets that hold several components are gathered by the connected groups of such buckets; a group is cut into
+    parts of about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles by a hash, and each two parts meet in one task, where registers and then the
+    full sets are compared. No pair leaves a task but the links found. A connected group of more than ``GROUP`` members is compared bucket by bucket
+    instead, each pair in the first bucket it shares.
     """
     sketch, least = SetSketch(REGISTERS), PERCENT / 100 - SLACK
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high")
-    cut = placed.join(split.select("band", "k"), "band").withColumn("parts", F.col("k").cast("int") / BLOCK + 1).withColumn("parts", F.col("parts").cast("int"))
-    own = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component")
-    rows = rows.join(nodes.select("node", "registers"), "node")
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("head")).where("low < high")
+    open_rows = stored(placed.join(stored(split.select("band", "head")), "band"))
+    groups = connected_components(open_rows.select(F.col("node").alias("u"), F.col("head").alias("v"))).toDF("node", "grp")
+    members = stored(open_rows.select("node", "n", "component").distinct().join(groups, "node"))
+    size = lambda rows: rows.groupBy("grp").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    sizes = stored(size(members))
+    whole = members.join(sizes.where(F.col("k") <= GROUP), "grp").withColumn("band", F.lit(-1))
+    large = members.join(sizes.where(F.col("k") > GROUP).select("grp"), "grp", "left_semi").select("node")
+    banded = open_rows.join(large, "node", "left_semi").select(F.col("band").alias("grp"), "node", "n", "component")
+    banded = banded.join(size(banded), "grp").withColumn("band", F.shiftrightunsigned("grp", 8 * ROWS).cast("int"))
+    columns = ["grp", "band", "node", "n", "component", (1 + F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("parts")]
+    cut = whole.select(*columns).unionByName(banded.select(*columns)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = met.select("grp", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component")
+    rows = rows.join(nodes.select("node", "registers"), "node").join(texts, "node")
 
     def compare(group: pa.Table) -> pa.Table:
         own, node, n, component = (group.column(c).to_numpy() for c in ("own", "node", "n", "component"))
-        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
+        band = group.column("band")[0].as_py()
+        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(len(node), -1, ROWS)
+        sets = list(shingle_sets((t.as_py() for t in group.column("text")), WORDS))
         one, two = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
         found = []
         for x in one:
             y = two[(component[two] != component[x]) & (100 * np.minimum(n[two], n[x]) >= PERCENT * np.maximum(n[two], n[x])) & ((own[x] != own[two]) | (node[x] < node[two]))]
-            for start in range(0, len(y), 1024):
-                part = y[start : start + 1024]
-                likely = sketch.jaccard(np.broadcast_to(regs[x], (len(part), regs.shape[1])), regs[part], np.full(len(part), float(n[x])), n[part].astype(float)) >= least
-                found += [(min(node[x], v), max(node[x], v)) for v in node[part[likely]]]
+            same = (regs[y] == regs[x]).all(2)
+            y = y[same.any(1) if band < 0 else same.any(1) & (same.argmax(1) == band)]
+            linked = set()
+            for start in range(0, len(y), 512):
+                part = y[start : start + 512]
+                r = regs[part].reshape(len(part), -1)
+                likely = sketch.jaccard(np.broadcast_to(regs[x].ravel(), r.shape), r, np.full(len(part), float(n[x])), n[part].astype(float)) >= least
+                for z in part[likely]:
+                    if component[z] not in linked:
+                        both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                        if 100 * both >= PERCENT * (n[x] + n[z] - both):
+                            linked.add(component[z])
+                            found.append((node[x], node[z]))
+        release()
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("grp", "band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 @settled
@@ -176,8 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         by = tied.toDF(node, component)
         return rows.join(by, node, "left").withColumn(component, F.coalesce(component, node))
 
-    across = across_components(named(members), nodes).join(chain, ["a", "b"], "left_anti")
-    more = stored(verified(stored(across), texts))
+    more = stored(across_components(named(members), nodes, texts))
     if more.isEmpty():
         final = tied
     else:

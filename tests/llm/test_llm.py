@@ -193,8 +193,10 @@ def test_minhash_compares_open_buckets_in_blocks(spark, monkeypatch):
             for b in sets:
                 if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                     low[a] = low[b] = min(low[a], low[b])
-    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == low and 1 < len(set(low.values())) < 60
+    for group in (1 << 16, 4):  # as one group, and bucket by bucket
+        monkeypatch.setattr(minhash_dedup, "GROUP", group)
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == low and 1 < len(set(low.values())) < 60
 
 
 def test_a_text_longer_than_a_block_has_the_words_of_its_parts(monkeypatch):
