@@ -3,17 +3,17 @@
 ``messages`` folds a log into final messages, ``rendered`` writes them in a template with a loss mask, and ``read_back``
 takes the output apart again. Events: conv_id, message (a key that sorts in page order), seq, kind, role, text.
 Kinds: ``message`` opens or replaces a message, ``edit`` and ``regenerate`` replace its text so far, ``delta``
-appends to it.
+appends to it. A message's role is the last one that an opening, edit or regeneration names; deltas name it only where none of those does.
 
 Defined cases: null text is empty, null role is the empty role, a null kind is ``message``, a null conversation id is a
 conversation like any other; nulls sort first; deltas before any opening are appended to nothing and stay;
-of equal seq numbers the order is kind, then text. Repeated messages must come with keys of their own. Other columns
+of equal seq numbers the order is kind, then text, so the last of two equal edits replaces the other. Repeated messages must come with keys of their own. Other columns
 are left alone; an empty log gives no rows. One output row holds one conversation, so the longest one must fit in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -35,16 +35,21 @@ def unescaped(text: Column) -> Column:
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """conv_id, message, role, text: each message's state after all its events."""
-    kind = F.coalesce("kind", F.lit("message"))
-    one = Window.partitionBy("conv_id", "message")
-    opening = F.when(kind != "delta", F.struct(F.col("seq"), kind))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))))
+    """conv_id, message, role, text: each message's state after all its events, taken in the order of seq, kind and text."""
+    event = F.struct("seq", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
+    opens = lambda e: e["kind"] != "delta"
+    roles = lambda some: F.transform(F.filter("log", lambda e: some(e) & e["role"].isNotNull()), lambda e: e["role"])
+    opened = F.coalesce(F.array_max(F.transform("log", lambda e, i: F.when(opens(e), i))), F.lit(0))
+    since = F.slice("log", opened + 1, F.greatest(F.size("log"), F.lit(1)))
     return (
-        events.select("conv_id", "message", "seq", kind.alias("kind"), "role", "text", F.max(opening).over(one).alias("opened"))
-        .where("opened is null or struct(seq, kind) >= opened or seq > opened.seq")
-        .groupBy("conv_id", "message")
-        .agg(F.coalesce(F.max("role"), F.lit("")).alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+        events.groupBy("conv_id", "message")
+        .agg(F.array_sort(F.collect_list(event)).alias("log"))
+        .select(
+            "conv_id",
+            "message",
+            F.coalesce(F.get(F.reverse(roles(opens)), F.lit(0)), F.get(roles(lambda e: ~opens(e)), F.lit(0)), F.lit("")).alias("role"),
+            F.array_join(F.transform(since, lambda e: e["text"]), "").alias("text"),
+        )
     )
 
 

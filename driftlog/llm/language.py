@@ -18,28 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAMS, BUCKETS = (1, 2, 3), 1 << 15
-BLOCK_CHARS = 1 << 20
-
+from .common import release
 
-def gram_slots(text: str) -> np.ndarray:
-    """Buckets of all n-grams of the lower-cased text, white space runs as one space."""
-    code = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    found = []
-    for n in GRAMS:
-        h = np.full(max(0, len(code) - n + 1), n, np.uint64)
-        for i in range(n):
-            h = (h ^ code[i : len(code) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        found.append((h >> np.uint64(20)) % np.uint64(BUCKETS))
-    return np.concatenate(found).astype(np.int64)
+GRAMS, BUCKETS = (1, 2, 3), 1 << 15
+BLOCK_CHARS = 1 << 18
 
 
 def gram_counts(text: str) -> np.ndarray:
-    """Bucket counts of the whole text, block by block with the overlap that n-grams need."""
+    """Bucket counts of all n-grams of the lower-cased text, white space runs as one space and one at each end.
+
+    Blocks of n-gram starts are taken one after the other, each with the characters that its last n-grams reach into, so the counts
+    are the whole text's whatever the block's size.
+    """
+    text = " " + " ".join(text.lower().split()) + " "
     total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, max(1, len(text)), BLOCK_CHARS):
-        total += np.bincount(gram_slots(text[at : at + BLOCK_CHARS]), minlength=BUCKETS)
+    for at in range(0, len(text), BLOCK_CHARS):
+        code = np.frombuffer(text[at : at + BLOCK_CHARS + max(GRAMS) - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        for n in GRAMS:
+            starts = max(0, min(BLOCK_CHARS, len(code) - n + 1))
+            h = np.full(starts, n, np.uint64)
+            for i in range(n):
+                h = (h ^ code[i : i + starts]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            total += np.bincount(((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
     return total
 
 
@@ -85,8 +86,9 @@ def train(rows: DataFrame) -> Decoder:
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[lang] = total.get(lang, 0) + gram_counts(text)
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                total[lang] = total.get(lang, 0) + gram_counts(text.as_py())
+            release()
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
@@ -104,7 +106,8 @@ def predicted(docs: DataFrame, decoder: Decoder) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [decoder(t) for t in batch.column(2).to_pylist()]
+            found = [decoder(t.as_py()) for t in batch.column(2)]
+            release()
             lang, score, unsure = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],

@@ -15,23 +15,22 @@ from __future__ import annotations
 
 import functools
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, settled, stored
 
 LIMIT, END_ID = 4096, 1
 END = np.array([END_ID], "<u4").tobytes()
 MARK, GROUP_WORDS = "\x01", 1000
 BLANK = re.compile(r"[\t\n\r]")
 BLOCK_BYTES = 1 << 20
-RANK_ROWS = 500_000
-CACHE_WORDS, CACHE_CHARS = 1 << 20, 48
-PIECES = "doc_id long, piece int, start long, length long, salt long, ids binary"
+RANK_ROWS = 1000  # pieces of one length that are ranked in one group
+CACHE_WORDS, CACHE_CHARS = 1 << 18, 48
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACED = ("doc_id", "piece", "start", "length", "offset")
 
 
@@ -94,7 +93,7 @@ def wide(ids: bytes, length: int) -> bytes:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, piece, start, length, a salt that spreads equal lengths, and the token ids as of ``narrow``."""
+    """doc_id, piece, start, length and the token ids as of ``narrow``."""
 
     def run(batches):
         coder = word_coder(tokenizer_path)
@@ -103,12 +102,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
             for doc_id, tokens in zip(ids, coder.ids(texts)):
                 for k, at in enumerate(range(0, len(tokens), 4 * limit)):
                     part = tokens[at : at + 4 * limit]
-                    yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(f"{doc_id}:{k}".encode(), zlib.crc32(part)), narrow(part)
+                    yield doc_id, k, at // 4, len(part) // 4, narrow(part)
 
         def table(found):
-            columns = list(zip(*found)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "salt", "ids"])
+            columns = list(zip(*found)) or [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids"])
 
         for batch in batches:
             ids, texts, size = [], [], 0
@@ -120,6 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
                     yield table(rows(ids, texts))
                     ids, texts, size = [], [], 0
             yield table(rows(ids, texts))
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
@@ -208,11 +208,15 @@ def places(made: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 
 def placed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The pieces, ids included, with sequence_id and offset. ``pieces`` is stored under a row number; ids take no part in ranking."""
+    """The pieces, ids included, with sequence_id and offset. ``pieces`` is stored under a row number; ids take no part in ranking.
+
+    The pieces of one length are ranked in groups of about ``RANK_ROWS`` by a hash of the row number, so that neither a frequent
+    length nor repeated rows make one task's work.
+    """
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
     counted = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``limit`` rows
     table = places(plan({r.length: r.n for r in counted}, limit))
-    parts = 1 + sum(r.n for r in counted) // RANK_ROWS
+    parts = pieces.sparkSession.createDataFrame([(r.length, 1 + r.n // RANK_ROWS) for r in counted], "length long, parts long")
     key = table[:, 0] << 44 | table[:, 1]
 
     def put(batches):
@@ -224,10 +228,10 @@ def placed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
                 [batch.column(0), pa.array(row[:, 3] + turn // row[:, 2]), pa.array(row[:, 4] + turn % row[:, 2] * length)], names=["row", "sequence_id", "offset"]
             )
 
-    salted = pieces.select("row", "doc_id", "piece", "length", "salt", F.pmod("salt", F.lit(parts)).alias("part"))
+    salted = pieces.select("row", "length").join(F.broadcast(parts), "length").select("row", "length", F.pmod(F.xxhash64("row"), "parts").alias("part"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "part").orderBy("salt", "doc_id", "piece", "row")
+    own = Window.partitionBy("length", "part").orderBy("row")
     ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(starts, ["length", "part"]).select("row", "length", (F.col("first") + F.col("own")).alias("rank"))
     found = stored(ranked.mapInArrow(put, "row long, sequence_id long, offset long"))
     return pieces.join(found, "row").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
@@ -244,6 +248,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
             flat, ends = parts.flatten(), np.r_[0, np.cumsum(parts.value_lengths().to_numpy())]
             ids = [*map(wide, flat.field("ids").to_pylist(), flat.field("length").to_pylist())]
             pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([flat.field(c) for c in PLACED], names=list(PLACED)))
+            release()
             whole = pa.array([b"".join(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), whole, pieces], names=["sequence_id", "ids", "pieces"])
 
@@ -258,6 +263,7 @@ def contents(rows: DataFrame) -> DataFrame:
     return one.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
 
 
+@settled
 def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The pieces with sequence_id and offset, read back from the sequences written."""
     return contents(stored(sequences(placed(pieces, limit))))

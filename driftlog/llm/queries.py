@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, packing, sharding, toxicity
+from .common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +41,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     size = F.octet_length(text).cast("long") + 1
     records = table(spark, sf_dir, "documents").withColumns({"size": size, "law": F.lit("key")})
-    shards = sharding.shuffled_shards(records, "doc_id", "size", 8)
+    path = f"{shared_dir(spark)}/driftlog-shards-{uuid.uuid4().hex}"
+    sharding.write_shards(records, path, "doc_id", "size", 8)
+    fields = f"{', '.join(f'`{c}` {t}' for c, t in records.dtypes)}, slot long, grown_shard int, shard int"
+    shards = spark.read.schema(fields).parquet(path)
     return shards.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
@@ -46,12 +52,30 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def edit_log(rows: DataFrame) -> DataFrame:
+    """An event log whose final messages are ``rows`` (conv_id, message, role, text), as a chat would have written it.
+
+    Every message comes in two streamed parts; every second one first held a draft that an edit replaces, every third one an
+    answer in another role's name that a regeneration replaces and deltas complete.
+    """
+    half = (F.char_length("text") / 2).cast("int")
+    start, rest = F.substring("text", 1, half), F.expr("substring(text, cast(char_length(text) / 2 as int) + 1)")
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    role, none = F.col("role"), F.lit(None).cast("string")
+    plain = F.array(event(1, "message", role, start), event(2, "delta", none, rest))
+    edited = F.array(event(1, "message", role, F.concat(F.lit("draft "), start)), event(2, "delta", none, rest), event(3, "edit", none, F.col("text")))
+    again = F.array(event(1, "message", F.lit("tool"), rest), event(2, "delta", F.lit("zzz"), start), event(3, "regenerate", role, start), event(4, "delta", F.lit("zzz"), rest))
+    n = F.col("message")
+    logged = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("role", F.coalesce("role", F.lit("")))
+    return logged.select("conv_id", "message", F.explode(F.when(n % 3 == 0, again).when(n % 2 == 0, edited).otherwise(plain)).alias("event")).select("conv_id", "message", "event.*")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = rows.select("conv_id", F.row_number().over(order).alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    events = edit_log(rows.select("conv_id", F.row_number().over(order).alias("message"), "role", "text"))
     back = chat.read_back(chat.rendered(chat.messages(events)))
     spelled = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -80,6 +80,36 @@ def test_chat_folds_events_and_reads_back(spark):
     assert chat.rendered(chat.messages(events.limit(0))).count() == 0
 
 
+def test_chat_roles_and_equal_seqs(spark):
+    """Against a plain fold, over random logs with ties, missing roles and deltas before any opening."""
+    random = np.random.default_rng(8)
+    rows = []
+    for conv in range(40):
+        for _ in range(int(random.integers(1, 9))):
+            kind = random.choice(["message", "delta", "edit", "regenerate"])
+            rows.append((conv, int(random.integers(0, 2)), int(random.integers(0, 4)), str(kind), random.choice(["user", "zsystem", None]), random.choice(["A", "B", "C", None])))
+    rows += [(100, 1, 1, "message", "user", "a"), (100, 1, 2, "delta", "zsystem", "b"), (101, 1, 1, "message", "assistant", "x"), (101, 1, 2, "edit", None, "B"), (101, 1, 2, "edit", None, "C")]
+    rows = [tuple(None if x is None else (str(x) if isinstance(x, np.str_) else x) for x in r) for r in rows]
+    want = {}
+    for conv, message, _, kind, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3], r[5] or "", r[4] or "")):
+        own, said, first = want.get((conv, message), (None, "", None))
+        if kind == "delta":
+            want[conv, message] = (own, said + (text or ""), first or role)
+        else:
+            want[conv, message] = (role or own, text or "", first)
+    df = spark.createDataFrame(rows, "conv_id long, message int, seq long, kind string, role string, text string")
+    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.messages(df).collect()}
+    assert got == {k: (own or first or "", said) for k, (own, said, first) in want.items()}
+    assert got[100, 1] == ("user", "ab") and got[101, 1] == ("assistant", "C")
+
+
+def test_the_chat_query_folds_real_logs(spark):
+    rows = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(["", "x", "\U0001f600y", "<|im_end|>\\", None, "abc\n", "longer text"])], "conv_id long, message int, role string, text string")
+    log = queries.edit_log(rows)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"} and log.count() > 2 * rows.count()
+    assert sorted(tuple(r) for r in chat.messages(log).collect()) == sorted((r.conv_id, r.message, r.role, r.text or "") for r in rows.collect())
+
+
 def test_packing_places_every_token_once(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -219,6 +249,14 @@ def test_language_held_out_accuracy(spark, docs, odd):
     assert one("123 ...") == ("und", 0.0, True) and one(None)[0] == "und"
 
 
+def test_language_counts_do_not_depend_on_blocks(monkeypatch):
+    text = "ab \u00c9\u0130c  d\n" * 40 + "x"
+    whole = language.gram_counts(text)
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language, "BLOCK_CHARS", size)
+        assert (language.gram_counts(text) == whole).all()
+
+
 def test_toxicity(spark, odd, none):
     labelled = odd.withColumn("low_quality", F.lit(0)).withColumn("toxic", F.lit(None).cast("int"))
     for train_on in (labelled, labelled.limit(0)):
@@ -272,6 +310,62 @@ def test_decontamination(spark, odd, none):
     assert decontamination.clean(odd, bench.limit(0)).count() == len(ODD) and decontamination.clean(none, bench).count() == 0
 
 
+def best_edits(window, text):
+    """Least edits for the whole window anywhere in the text, by the plain table."""
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(window):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = np.array(new)
+    return int(row.min())
+
+
+def test_decontamination_equals_plain_edit_distance(monkeypatch):
+    random = np.random.default_rng(6)
+    some = lambda n, letters="abcdefgh ": "".join(random.choice(list(letters), n))
+    items = [some(n) for n in (13, 20, 30, 60, 100, 150)] + [some(60, "ab"), "ab" * 40, "What is 17?", "of it"]
+    texts = []
+    for item in items:
+        for edits in (0, 1, 2, 4, 7):
+            t = list(item)
+            for _ in range(edits):
+                k = int(random.integers(0, len(t)))
+                t[k : k + 1] = random.choice(["", "z", "zz"])
+            texts.append(some(40) + " " + "".join(t) + " " + some(30))
+    texts += ["ab" * 90, "a" * 300, some(200, "ab"), "profit is", "so of it!"]
+    index = decontamination.Windows(list(enumerate(items)))
+
+    def check(index):
+        for text in texts:
+            text = decontamination.plain(text)
+            hits = index.search(text)
+            found = {(item, start) for item, start, *_ in hits}
+            want = set()
+            for w, owners, budget in zip(index.window, index.owners, index.budget):
+                if best_edits("".join(map(chr, w)), text) <= budget:
+                    want |= set(owners)
+            want |= {(8, 0)} if "what is 17?" in text else set()
+            want |= {(9, 0)} if f" {items[9]} " in f" {text} ".replace("!", " ") else set()
+            assert found == want
+            assert all(e <= 4 and best_edits(decontamination.plain(items[i])[s : s + 96], text[a:b]) <= 2 * e + 8 for i, s, a, b, e in hits)
+
+    check(index)
+    for name, value in (("ENTRIES", 8), ("SEGMENT", 50)):
+        monkeypatch.setattr(decontamination, name, value)
+    check(index)
+    monkeypatch.setattr(decontamination, "COMMON", 1)
+    check(decontamination.Windows(list(enumerate(items))))
+
+
+def test_decontamination_of_few_letters_ends():
+    index = decontamination.Windows([(i, "a" * 200) for i in range(2000)])
+    assert len({i for i, *_ in index.search("a" * 2000)}) == 2000
+    phrase = "the quick brown fox jumps over the lazy dog "
+    random = np.random.default_rng(2)
+    assert not decontamination.Windows([(i, phrase + "".join(random.choice(list("abcdef "), 60))) for i in range(3000)]).search(phrase * 100)
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><script>var a='</p>';</script></head><body><header>top</header><nav><ul><li><a href=x>menu</a></ul></nav>"
@@ -364,19 +458,35 @@ def test_line_stage_keeps_links_of_copies(spark, docs):
     assert all(t.strip() for i, t in got.items() if (docs[i].text or "").strip())
 
 
-def test_sharding_query_moves_whole_records(spark, docs, monkeypatch):
-    whole = sharding.shuffled_shards
+def test_sharding_query_writes_whole_records(spark, docs, monkeypatch):
+    whole = sharding.write_shards
 
     def marked(records, *rest):
         assert set(corpus_pipeline.COLUMNS) <= set(records.columns)
-        return whole(records, *rest).withColumn("text", F.concat("text", F.lit("+")))
+        return whole(records.withColumn("text", F.concat("text", F.lit("+"))), *rest)
 
-    monkeypatch.setattr(sharding, "shuffled_shards", marked)
+    monkeypatch.setattr(sharding, "write_shards", marked)
     want = {i: f"{r.text}+".encode() if r.text is not None else b"" for i, r in docs.items()}
     got = {r.doc_id: (r.size, r.text_crc32) for r in queries.op5_sharding(spark, DIR).collect()}
     assert got == {i: (len(t) + 1, zlib.crc32(t)) for i, t in want.items()}
 
 
+def test_sharding_renames_clashing_columns(spark, odd):
+    rows = odd.withColumns({c: F.lit(c) for c in ("slot", "slot_", "grown_shard", "_draw")}).withColumn("size", F.lit(1))
+    out = sharding.shuffled_shards(rows, "doc_id", "size", 3)
+    assert {"shard_", "slot_", "slot__", "grown_shard_", "_draw", "shard", "slot", "grown_shard"} <= set(out.columns) and len(set(out.columns)) == len(rows.columns) + 3
+    assert {(r.slot_, r.slot__) for r in out.collect()} in ({("slot", "slot_")}, {("slot_", "slot")}) and out.count() == len(ODD)
+
+
+def test_a_bucket_is_shuffled_evenly(spark):
+    """Every row comes to every place of its bucket about equally often over seeds."""
+    seen = np.zeros((6, 6))
+    for seed in range(120):
+        for r in sharding.shuffled_shards(spark.range(6).coalesce(1).withColumn("size", F.lit(1)), "id", "size", 1, seed).collect():
+            seen[r.id, r.slot] += 1
+    assert seen.min() > 5 and ((seen - 20) ** 2 / 20).sum() < 60  # chi squared, 25 degrees of freedom
+
+
 def test_written_shards_hold_every_text(spark, odd, monkeypatch, tmp_path):
     monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 14)
     hot = [(7, f"row {i} " * 30, "en", "h", 1, 1, "") for i in range(3000)] + [(8, "long " * 1_000_000, "en", "h", 1, 1, "")]
