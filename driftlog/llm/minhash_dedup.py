@@ -29,7 +29,7 @@ from .shingles import SetSketch, mix, shingle_sets
 WORDS, PERCENT = 5, 75
 REGISTERS, ROWS = 384, 6  # 64 bands of 6: a pair at 0.75 meets in none with a chance of 4e-6
 SLACK = 0.14  # six standard deviations of the estimate at 0.75
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # members and shingles on a side of the square blocks in which open buckets are compared
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # members and shingles on a side of the square blocks in which open buckets are compared
 GROUP = 1 << 16  # members of connected open buckets that are compared as one group
 
 
@@ -130,10 +130,10 @@ def across_components(placed: DataFrame, nodes: DataFrame, texts: DataFrame) ->
     instead, each pair in the first bucket it shares.
     """
     sketch, least = SetSketch(REGISTERS), PERCENT / 100 - SLACK
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("head")).where("low < high")
-    open_rows = stored(placed.join(stored(split.select("band", "head")), "band"))
-    groups = connected_components(open_rows.select(F.col("node").alias("u"), F.col("head").alias("v"))).toDF("node", "grp")
-    members = stored(open_rows.select("node", "n", "component").distinct().join(groups, "node"))
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_rows = stored(placed.join(stored(split.select("band", "low")), "band"))
+    groups = connected_components(open_rows.select(F.col("component").alias("u"), F.col("low").alias("v"))).toDF("component", "grp")
+    members = stored(open_rows.select("node", "n", "component").distinct().join(groups, "component"))
     size = lambda rows: rows.groupBy("grp").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
     sizes = stored(size(members))
     whole = members.join(sizes.where(F.col("k") <= GROUP), "grp").withColumn("band", F.lit(-1))

@@ -27,9 +27,10 @@ LIMIT, END_ID = 4096, 1
 END = np.array([END_ID], "<u4").tobytes()
 MARK, GROUP_WORDS = "\x01", 1000
 BLANK = re.compile(r"[\t\n\r]")
-BLOCK_BYTES = 1 << 20
+SIMPLE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?]+)?")  # one or two parts to a tokenizer with a word pattern
+BLOCK_BYTES = 1 << 19
 RANK_ROWS = 1000  # pieces of one length that are ranked in one group
-CACHE_WORDS, CACHE_CHARS = 1 << 18, 48
+CACHE_WORDS, CACHE_CHARS = 1 << 18, 48  # of each of two generations
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACED = ("doc_id", "piece", "start", "length", "offset")
 
@@ -39,15 +40,38 @@ class WordCoder:
 
     Right for tokenizers that drop white space and never join characters across it, as those with a word pattern and an
     end-of-word suffix do; ``token_pieces`` is tested against whole-text coding. Words of at most ``CACHE_CHARS``
-    characters are kept; the store is emptied when it holds ``CACHE_WORDS``.
+    characters are kept; when ``CACHE_WORDS`` are held, those not met since the last time go.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.before = tokenizer, {}, {}
         marks = tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = marks[0] if len(marks) == 1 else None
+        suffix, vocabulary = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def coded(self, words: list[str]) -> dict[str, bytes]:
+        """Plain words go through the tokenizer as one text and are told apart by their parts' ends, others by ``marked``."""
+        shapes = [SIMPLE.fullmatch(w) if self.ends is not None else None for w in words]
+        plain = [w for w, m in zip(words, shapes) if m]
+        parts = np.array([1 + bool(m[1]) for m in shapes if m], np.int64)
+        out = self.marked([w for w, m in zip(words, shapes) if not m])
+        starts = range(0, len(plain), GROUP_WORDS)
+        for at, found in zip(starts, self.tokenizer.encode_batch_fast([" ".join(plain[i : i + GROUP_WORDS]) for i in starts], add_special_tokens=False)):
+            ids, group = np.array(found.ids, "<u4"), plain[at : at + GROUP_WORDS]
+            last = np.cumsum(parts[at : at + GROUP_WORDS]) - 1
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
+                cuts, whole = (4 * ends[last]).tolist(), ids.tobytes()
+                out |= {w: whole[a:b] for w, a, b in zip(group, [0, *cuts[:-1]], cuts, strict=True)}
+            else:  # a part of this tokenizer's own kind
+                out |= self.marked(group)
+        return out
+
+    def marked(self, words: list[str]) -> dict[str, bytes]:
         """Many words go through the tokenizer as one text, told apart by the id of ``MARK``; words that hold it go alone."""
         alone = [w for w in words if self.mark is None or MARK in w]
         rest = [w for w in words if MARK not in w] if self.mark is not None else []
@@ -62,11 +86,12 @@ class WordCoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [BLANK.sub(" ", t).split(" ") for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.before = {}, self.known
         new = {w for words in split for w in words}.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = {w for words in split for w in words}
-        self.known |= self.coded(list(new))
+        met = new.intersection(self.before)
+        self.known |= {w: self.before[w] for w in met}
+        self.known |= self.coded(list(new - met))
         out = [b"".join([*map(self.known.__getitem__, words), END]) for words in split]
         for w in new:
             if len(w) > CACHE_CHARS:
@@ -264,6 +289,11 @@ def contents(rows: DataFrame) -> DataFrame:
 
 
 @settled
+def written(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The sequences of ``pieces`` as a table in the shared folder."""
+    return sequences(placed(pieces, limit))
+
+
 def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The pieces with sequence_id and offset, read back from the sequences written."""
-    return contents(stored(sequences(placed(pieces, limit))))
+    return contents(written(pieces, limit))

@@ -148,6 +148,7 @@ def test_words_coded_once_give_the_ids_of_whole_texts():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     draw, letters = random.Random(3), "\x01\x02 \t\n\r\x0b\x1c\x85\xa0\u0301\u03a3aA1b.,;:!?\u00e9's\u0130<|endoftext|>\u4e2d\U0001f600\u3000\u200b"
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)] + ["a<|endoftext|> b<|startoftext|>c.", "word., don't", "x" * 50_000]
+    texts += ["\u00c0b\u00e9.. Stra\u00dfe, \u00d7 \u00f7 \u00ff; A.b N\u00aa \u00b5m caf\u00e9\u0301! I\u0307s a.,;:!? " * 3] + [" ".join("".join(draw.choice("abcDE\u00e9\u00fc.,!") for _ in range(draw.randint(1, 7))) for _ in range(50)) for _ in range(100)]
     coder = packing.WordCoder(tokenizer)
     whole = [np.array([*found.ids, packing.END_ID], "<u4").tobytes() for found in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert coder.ids(texts) == whole
