@@ -45,16 +45,6 @@ def deduplicated(batch: DataFrame, arrival: str = "seq") -> DataFrame:
     return batch.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
-def appended(log: DataFrame, batch: DataFrame, arrival: str) -> DataFrame:
-    """The batch's rows that the log does not hold yet, numbered on from the log's head in arrival order.
-
-    A batch is a bounded push; the numbering is one ordered pass over it.
-    """
-    new = deduplicated(batch, arrival).join(log.select("user_id", "op_id"), ["user_id", "op_id"], "left_anti")
-    head = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_head"))
-    return new.withColumn("_n", F.row_number().over(Window.orderBy(arrival))).join(F.broadcast(head)).withColumn("seq", F.col("_head") + F.col("_n")).drop("_head", "_n")
-
-
 def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Each key's row with the highest ``order``, by an aggregation that combines before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
