@@ -532,4 +532,43 @@ def test_html_keeps_all_of_an_article():
     )
     assert html_text.main_text(page).split("\n") == ["Title", "Intro", "Sixty characters or so of a first paragraph, no more.", "Rest", *long, "A source that is all link"]
     plain = "<div><p><a href=x>link</a></p></div><div><p id=related>" + long[0] + "</p><p><a href=y>more</a></p></div>"
-    assert html_text.main_text(plain) == long[0]
+    assert html_text.main_text(plain) == long[0] + "\nmore"
+
+
+LONG = ["Sentence " * 30 + f"number {i}." for i in range(6)]
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(8)) + "</ul>"
+P = lambda some: "".join(f"<p>{x}</p>" for x in some)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [  # without an article the ratios decide; short sections and linked paragraphs of the content stay
+        (f"<body><div>{MENU}</div><div id=x><h2>Title</h2><div>{P(LONG)}</div><div><p>Short.</p><p><a href=x>Source</a></p></div></div><div>{MENU}</div></body>", ["Title", *LONG, "Short.", "Source"]),
+        (f"<body>{MENU}<h1>Head</h1>{P(LONG)}<p><a href=a>a</a> <a href=b>b</a></p>{MENU}{MENU}</body>", ["Head", *LONG]),
+        # names that only resemble those of other parts; elements that group nothing
+        (f"<article><h1>T</h1><section id='side-effects'>{P(LONG[:2])}</section><p class='notice'>Read this.</p><div class='notice-board'><p>Post.</p></div></article>", ["T", *LONG[:2], "Read this.", "Post."]),
+        # a teaser beside the text is not the article
+        (f"<body><article class=teaser><p>Teaser</p></article>{P(LONG)}</body>", LONG),
+        (f"<main><article>{P(LONG[:3])}</article></main><article><a href=x>Other story</a></article>", LONG[:3]),
+        # menus left open
+        (f"<body><nav>{MENU}<article>{P(LONG)}</article></body>", LONG),
+        (f"<body><nav>{MENU}<div>{P(LONG)}</div></body>", LONG),
+        # comments, even long ones, and a wrapper whose name misleads
+        (f"<article>{P(LONG[:2])}<section class='comments'>{P(LONG)}</section></article>", LONG[:2]),
+        (f"<div class='banner'>{P(LONG)}</div><div class=ad>Buy.</div>", LONG),
+        ("<article>" + P(["Eight."]) + "".join(f"<div><p>{x}</p></div>" for x in LONG) + P(["a.", "b.", "c.", "d."]) + "</article>", ["Eight.", *LONG, "a.", "b.", "c.", "d."]),
+        ("<nav>only</nav>", []),
+        ("<div>" * 3000 + "<p>deep" + "</div>" * 10, ["deep"]),
+        ("<p>" + "very long " * 200_000, [("very long " * 200_000).strip()]),
+        ("<form><p>a</p></form><script>x<p>y", []),
+    ],
+)
+def test_html_regions(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_html_of_odd_tables(spark):
+    rows = [(1, "u", "<p>a", "x"), (1, "u", "<p>a", "x"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extracted(df).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
+    assert html_text.extracted(df.limit(0)).count() == 0
