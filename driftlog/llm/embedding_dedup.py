@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, settled, stored
 from .shingles import mix
 
 COSINE, BLOCK_DIMS, SEED = 0.98, 8, 11
@@ -32,6 +32,11 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their largest component: exact, and neither squares nor sums leave the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def probes(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell) for every grid cell that the ball around a row of ``points`` meets, and whether it is the row's own."""
     width = CELL * radius
@@ -58,20 +63,20 @@ def cells(nodes: DataFrame, cosine: float) -> DataFrame:
     def run(batches):
         turned: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, labels = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             vectors = batch.column(2).to_pylist()
             by_length: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_length.setdefault(len(v), []).append(i)
             for dims, at in by_length.items():
                 x = np.array([vectors[i] for i in at], float)
-                x /= np.abs(x).max(1, keepdims=True)
+                x = scaled(x)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 turned.setdefault(dims, rotation(dims))
                 x = x @ turned[dims]
                 parts = np.array_split(np.arange(dims), max(1, dims // BLOCK_DIMS))
                 radius = np.sqrt((2 - 2 * cosine) / len(parts)) + 1e-9
-                label = mix(np.array([hash(labels[i]) & 0xFFFFFFFFFFFFFFFF for i in at], np.uint64) + np.uint64(dims))
+                label = mix(labels[np.array(at)] + np.uint64(dims))
                 for b, part in enumerate(parts):
                     row, cell, own = probes(x[:, part], radius)
                     key = label[row] + np.uint64(b * int(GOLD) & 0xFFFFFFFFFFFFFFFF)
@@ -84,7 +89,7 @@ def cells(nodes: DataFrame, cosine: float) -> DataFrame:
                         names=["cell", "id", "own", "budget", *coordinates],
                     )
 
-    return nodes.select("id", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(
+    return nodes.select("id", F.xxhash64("label").alias("label"), "embedding").mapInArrow(
         run, "cell long, id long, own boolean, budget double, " + ", ".join(f"{c} float" for c in coordinates)
     )
 
@@ -100,10 +105,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
                 dims = np.diff(x.offsets.to_numpy())
                 same = dims == np.diff(y.offsets.to_numpy())
                 for u, v, ok in zip(x, y, same) if len(set(dims)) > 1 or not same.all() else ():
-                    u, v = np.array(u.as_py(), float), np.array(v.as_py(), float)
+                    u, v = scaled(np.array(u.as_py(), float)), scaled(np.array(v.as_py(), float))
                     keep.append(bool(ok) and u @ v / (np.linalg.norm(u) * np.linalg.norm(v)) >= cosine)
                 if len(set(dims)) == 1 and same.all():
-                    u, v = (np.asarray(c.flatten().to_numpy(), float).reshape(len(c), -1) for c in (x, y))
+                    u, v = (scaled(np.asarray(c.flatten().to_numpy(), float).reshape(len(c), -1)) for c in (x, y))
                     keep += ((u * v).sum(1) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)) >= cosine).tolist()
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
@@ -112,9 +117,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where("la = lb").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
+@settled
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept per row; see the module's text."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     sound = (
         F.col("label").isNotNull()
         & (F.size("embedding") > 0)

@@ -418,6 +418,13 @@ def test_embeddings_odd_rows(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_sizes_and_text_labels(spark):
+    rows = [(1, [1e200, 0.0], "a"), (2, [2e200, 0.0], "a"), (3, [1e-200, 0.0], "a"), (4, [3.0, 0.1], "a"), (5, [1e200, 0.0], "b"), (6, [0.0, 5e-324], "a"), (7, [0.0, 1.0], "a"), (8, [1e200, 1e200], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumns({c: F.lit(1) for c in ("id", "print", "cell", "a", "n")})
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_line_stage_leaves_one_of_each_planted_group(spark):
     """Against a plain version: near copies are one document to the line stage, and near_dedup then finds them."""
     random = np.random.default_rng(11)
