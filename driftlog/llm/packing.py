@@ -30,7 +30,8 @@ BLANK = re.compile(r"[\t\n\r]")
 SIMPLE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?]+)?")  # one or two parts to a tokenizer with a word pattern
 BLOCK_BYTES = 1 << 19
 RANK_ROWS = 1000  # pieces of one length that are ranked in one group
-CACHE_WORDS, CACHE_CHARS = 1 << 18, 48  # of each of two generations
+CACHE_WORDS, CACHE_CHARS = 3 << 18, 48
+PLACES, BLOCKS = 1 << 21, 64  # rows of a broadcast block of places (about 100 MB in a task's executor), and blocks at most
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACED = ("doc_id", "piece", "start", "length", "offset")
 
@@ -40,11 +41,11 @@ class WordCoder:
 
     Right for tokenizers that drop white space and never join characters across it, as those with a word pattern and an
     end-of-word suffix do; ``token_pieces`` is tested against whole-text coding. Words of at most ``CACHE_CHARS``
-    characters are kept; when ``CACHE_WORDS`` are held, those not met since the last time go.
+    characters are kept; the store is emptied when it holds ``CACHE_WORDS``.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.before = tokenizer, {}, {}
+        self.tokenizer, self.known = tokenizer, {}
         marks = tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = marks[0] if len(marks) == 1 else None
         suffix, vocabulary = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
@@ -86,12 +87,11 @@ class WordCoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [BLANK.sub(" ", t).split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.before = {}, self.known
         new = {w for words in split for w in words}.difference(self.known)
-        met = new.intersection(self.before)
-        self.known |= {w: self.before[w] for w in met}
-        self.known |= self.coded(list(new - met))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {}
+            new = {w for words in split for w in words}
+        self.known |= self.coded(list(new))
         out = [b"".join([*map(self.known.__getitem__, words), END]) for words in split]
         for w in new:
             if len(w) > CACHE_CHARS:
@@ -259,7 +259,27 @@ def placed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     own = Window.partitionBy("length", "part").orderBy("row")
     ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(starts, ["length", "part"]).select("row", "length", (F.col("first") + F.col("own")).alias("rank"))
     found = stored(ranked.mapInArrow(put, "row long, sequence_id long, offset long"))
-    return pieces.join(found, "row").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    return beside(pieces, found).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
+def beside(pieces: DataFrame, found: DataFrame) -> DataFrame:
+    """``pieces`` joined with ``found`` by row. The stored pieces lie in row order, so blocks of rows meet broadcast blocks of at most about
+    ``PLACES`` places and the ids are not shuffled for it; where that would take over ``BLOCKS`` blocks, both sides are shuffled."""
+    sizes = sorted((r.p, r.n) for r in found.groupBy(F.shiftright("row", 33).alias("p")).agg(F.count("*").alias("n")).collect())  # one row per task that wrote
+    cuts, held = [0], 0
+    for p, n in sizes:
+        if held and held + n > PLACES:
+            cuts.append(p << 33)
+            held = 0
+        held += n
+    if len(cuts) > BLOCKS or any(n > 2 * PLACES for _, n in sizes):
+        return pieces.join(found, "row")
+    out = None
+    for low, high in zip(cuts, [*cuts[1:], (1 << 63) - 1]):
+        within = (F.col("row") >= low) & (F.col("row") < high)
+        block = pieces.where(within).join(F.broadcast(found.where(within)), "row")
+        out = block if out is None else out.unionByName(block)
+    return out
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

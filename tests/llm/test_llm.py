@@ -507,7 +507,7 @@ def test_written_shards_hold_every_text(spark, odd, monkeypatch, tmp_path):
         assert sorted(r.slot for r in back if r.shard == s) == list(range(sum(r.shard == s for r in back)))
 
 
-def test_sequences_hold_the_token_ids(spark, odd, none):
+def test_sequences_hold_the_token_ids(spark, odd, none, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -522,6 +522,11 @@ def test_sequences_hold_the_token_ids(spark, odd, none):
         assert len(whole) == sum(p.length for p in r.pieces) <= 4096
         got.update((p.doc_id, p.piece, tuple(whole[p.offset : p.offset + p.length])) for p in r.pieces)
     assert got == want and len({r.sequence_id for r in rows}) == len(rows)
+    for places, blocks in ((2, 64), (1, 1)):  # several broadcast blocks, and the shuffled join
+        monkeypatch.setattr(packing, "PLACES", places)
+        monkeypatch.setattr(packing, "BLOCKS", blocks)
+        again = packing.sequences(packing.placed(packing.token_pieces(odd.repartition(4), path))).collect()
+        assert sum(len(r.pieces) for r in again) == sum(want.values())
     for ids in ([], [1, 65535], [65536, 7]):
         plain = np.array(ids, "<u4").tobytes()
         assert packing.wide(packing.narrow(plain), len(ids)) == plain
