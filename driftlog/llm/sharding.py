@@ -61,4 +61,4 @@ def shuffled_shards(docs: DataFrame, key: str, size: str, shards: int, seed: int
 
 def write_shards(docs: DataFrame, path: str, key: str, size: str, shards: int) -> None:
     """Writes the shards as Parquet, one folder per shard, each bucket's rows in slot order."""
-    shuffled_shards(docs, key, size, shards).write.partitionBy("shard").parquet(path)
+    shuffled_shards(docs, key, size, shards).write.option("compression", "zstd").partitionBy("shard").parquet(path)
