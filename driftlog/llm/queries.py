@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, packing, sharding, toxicity
+from . import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, oracle, packing, sharding, toxicity
 from .common import shared_dir
 
 
@@ -119,4 +119,9 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}
-ORACLE_SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": oracle.OP2_SQL,
+    "op3_line_dedup": oracle.OP3_SQL,
+    "op7_minhash_near_dedup": oracle.OP7_SQL,
+    "op8_chat_formatting": OP8_SQL,
+}

@@ -3,6 +3,7 @@
 import collections
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -425,6 +426,27 @@ def test_embeddings_of_extreme_sizes_and_text_labels(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
 
 
+def test_embeddings_equal_their_sql(spark, tmp_path):
+    """Chains of near vectors over cell borders, in few and in many dimensions, with copies and odd vectors."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for dims in (2, 5, 16, 64):
+        for _ in range(8):
+            v = rng.normal(size=dims)
+            for _ in range(int(rng.integers(1, 12))):
+                v = v + rng.normal(size=dims) * 0.15 * np.linalg.norm(v) / np.sqrt(dims)
+                rows.append((len(rows), v.tolist(), int(rng.integers(0, 2))))
+    rows += [(len(rows) + i, v, 0) for i, v in enumerate([rows[0][1], rows[0][1], None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0]])]
+    path = str(tmp_path / "vectors")
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    want = sorted(con.execute(queries.oracle.OP2_SQL).fetchall())
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.read.parquet(path)).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == want
+    assert sum(n for _, n, _, _ in want) > 100 and sum(not kept for *_, kept in want) > 20
+
+
 def test_line_stage_leaves_one_of_each_planted_group(spark):
     """Against a plain version: near copies are one document to the line stage, and near_dedup then finds them."""
     random = np.random.default_rng(11)
