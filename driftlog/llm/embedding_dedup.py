@@ -2,8 +2,8 @@
 
 Unit vectors are rotated by a fixed seeded rotation and split into blocks of about ``BLOCK_DIMS`` dimensions. Two
 vectors within squared distance D = 2 - 2 * cosine are within D / blocks in one block at least, so each block is
-range-joined on a grid: a vector lies in one cell and probes every cell that its block's ball of that budget meets, and only
-vectors whose block distance keeps to the budget become a pair.
+range-joined on a grid: a vector lies in one cell and probes the later cells that its block's ball of that budget meets (the
+vectors of earlier cells probe its own), and only vectors whose block distance keeps to the budget become a pair.
 The union of the candidates is verified by the exact cosine of the vectors as given, in double precision.
 
 Defined cases: only vectors of equal, non-null labels and equal length are compared; null, empty and zero vectors and those with
@@ -24,6 +24,8 @@ from .shingles import mix
 
 COSINE, BLOCK_DIMS, SEED = 0.98, 8, 11
 CELL = 4.0  # a cell's width in radii of a block's budget
+STEPS = 10_000  # steps of a radius to which places in a cell are rounded: 1.5 widths at most, so they keep within 16 bits
+BUDGET = (STEPS + 4) ** 2  # rounding adds less than sqrt(BLOCK_DIMS) steps to a distance
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,7 +40,8 @@ def scaled(x: np.ndarray) -> np.ndarray:
 
 
 def probes(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell) for every grid cell that the ball around a row of ``points`` meets, and whether it is the row's own."""
+    """(row, cell) for the grid cells that the ball around a row of ``points`` meets, from the row's own on in the order of their numbers, and
+    whether it is the row's own. Of two near rows in unlike cells one has the earlier cell, and its ball meets the other's."""
     width = CELL * radius
     home = np.floor(points / width + 0.5).astype(np.int64)
     inside = points / width + 0.5 - home
@@ -47,7 +50,7 @@ def probes(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, n
     row, cell, left = np.arange(len(points)), home, np.full(len(points), radius * radius * (1 + 1e-9))
     own = np.ones(len(points), bool)
     for j in range(points.shape[1]):
-        near = np.flatnonzero(gap[row, j] <= left)
+        near = np.flatnonzero((gap[row, j] <= left) & (~own | (side[row, j] > 0)))
         moved = cell[near].copy()
         moved[:, j] += side[row[near], j]
         left = np.concatenate([left, left[near] - gap[row[near], j]])
@@ -56,9 +59,8 @@ def probes(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, n
 
 
 def cells(nodes: DataFrame, cosine: float) -> DataFrame:
-    """(cell, id, own, budget, p0, ...): each vector's cells in all its blocks with the block's squared-distance budget and its first
-    ``BLOCK_DIMS`` coordinates (zeros where it has fewer); the cell's key also holds label, length and block."""
-    coordinates = [f"p{j}" for j in range(BLOCK_DIMS)]
+    """(cell, id, own, near, far): each vector's cells in all its blocks; the cell's key also holds label, length and block. ``near`` and ``far``
+    hold the first ``BLOCK_DIMS`` coordinates from the cell's centre (zeros where it has fewer), four of 16 bits each."""
 
     def run(batches):
         turned: dict[int, np.ndarray] = {}
@@ -82,16 +84,26 @@ def cells(nodes: DataFrame, cosine: float) -> DataFrame:
                     key = label[row] + np.uint64(b * int(GOLD) & 0xFFFFFFFFFFFFFFFF)
                     for j in range(cell.shape[1]):
                         key = mix(key + cell[:, j].astype(np.uint64) * GOLD)
-                    place = np.zeros((len(x), BLOCK_DIMS), np.float32)
-                    place[:, : min(len(part), BLOCK_DIMS)] = x[:, part[:BLOCK_DIMS]]
+                    some = part[:BLOCK_DIMS]
+                    place = np.zeros((len(row), BLOCK_DIMS), "<i2")
+                    place[:, : len(some)] = np.rint((x[row][:, some] / radius - CELL * cell[:, : len(some)]) * STEPS)
+                    near, far = place.view("<i8").T
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(ids[np.array(at)][row]), pa.array(own), pa.array(np.full(len(row), (radius + 1e-5) ** 2)), *(pa.array(c[row]) for c in place.T)],
-                        names=["cell", "id", "own", "budget", *coordinates],
+                        [pa.array(key.view(np.int64)), pa.array(ids[np.array(at)][row]), pa.array(own), pa.array(near.copy()), pa.array(far.copy())],
+                        names=["cell", "id", "own", "near", "far"],
                     )
 
-    return nodes.select("id", F.xxhash64("label").alias("label"), "embedding").mapInArrow(
-        run, "cell long, id long, own boolean, budget double, " + ", ".join(f"{c} float" for c in coordinates)
-    )
+    return nodes.select("id", F.xxhash64("label").alias("label"), "embedding").mapInArrow(run, "cell long, id long, own boolean, near long, far long")
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of ``cells`` that meet in a cell and keep to the block's budget."""
+    build = found.where("own").select("cell", F.col("id").alias("b"), F.col("near").alias("b_near"), F.col("far").alias("b_far"))
+    at = lambda c, j: f"shiftright(shiftleft({c}, {48 - 16 * j}), 48)"
+    apart = [f"({at(c, j)} - {at('b_' + c, j)})" for c in ("near", "far") for j in range(4)]
+    close = f"{' + '.join(f'{d} * {d}' for d in apart)} <= {BUDGET}"
+    met = found.withColumnRenamed("id", "a").join(build, "cell").where(f"a <> b and (not own or a < b) and {close}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
@@ -131,10 +143,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     keyed = stored(rows.withColumn("print", print_of))
     grouped = keyed.where("print is not null").groupBy("label", "print").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     nodes = stored(grouped.withColumn("id", F.coalesce("vec_id", -1 - F.abs(F.xxhash64("label", "print")))))
-    found = stored(cells(nodes, cosine))
-    build = found.where("own").select("cell", F.col("id").alias("b"), *(F.col(f"p{j}").alias(f"q{j}") for j in range(BLOCK_DIMS)))
-    apart = " + ".join(f"(p{j} - q{j}) * (p{j} - q{j})" for j in range(BLOCK_DIMS))
-    pairs = found.drop("own").withColumnRenamed("id", "a").join(build, "cell").where(f"a < b and {apart} <= budget").select("a", "b").distinct()
+    pairs = candidates(stored(cells(nodes, cosine)))
     links = stored(verified(pairs, nodes, cosine))
     sized = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
