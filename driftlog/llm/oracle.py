@@ -58,3 +58,29 @@ with recursive worded as (
 select z.doc_id, z.n_shingles, coalesce(l.component_id, z.doc_id) as component_id, coalesce(l.component_id, z.doc_id) = z.doc_id as kept
 from sized z left join least l on l.a = z.doc_id
 """
+
+OP12_SQL = r"""
+with docs as (
+  select row_number() over () as d, coalesce(lang, 'und') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents where text is not null
+), pieces as (
+  select lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from docs
+), total as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang
+), grams as (
+  select lang, m, array_to_string(w[i:i + m - 1], ' ') as g from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from pieces cross join (select unnest([1, 2, 3, 4]) as m) where len(w) >= m)
+), counted as (select lang, m, g, count(*) as f from grams group by lang, m, g having count(*) >= 30
+), cuts as (
+  select c.lang, c.m, c.g, c.f, k, array_to_string(string_split(c.g, ' ')[:k], ' ') as x, array_to_string(string_split(c.g, ' ')[k + 1:], ' ') as y
+  from (select *, unnest(range(1, m)) as k from counted where m > 1) c
+), scored as (
+  select c.lang, c.m, c.g, c.f, c.k, p.f as l, q.f as r, (2000000::hugeint * c.f) // (p.f::hugeint + q.f) as s
+  from cuts c join counted p on p.lang = c.lang and p.m = c.k and p.g = c.x join counted q on q.lang = c.lang and q.m = c.m - c.k and q.g = c.y
+), lowest as (select * from (select *, row_number() over (partition by lang, m, g order by s, k) as nth from scored) where nth = 1
+), inner_parts as (
+  select lang, f, j, array_to_string(string_split(g, ' ')[i:i + j - 1], ' ') as part from (select lang, g, f, j, unnest(range(1, m - j + 2)) as i from (select *, unnest(range(2, m)) as j from counted where m > 2))
+), covered as (select lang, j, part, max(f) as longer from inner_parts group by lang, j, part
+), ranked as (
+  select x.lang, row_number() over (partition by x.lang order by s desc, x.f desc, x.g) as rank, x.g as phrase, x.f as a, l, r, s as score
+  from lowest x left join covered v on v.lang = x.lang and v.j = x.m and v.part = x.g where v.longer is null or 100::hugeint * v.longer < 80::hugeint * x.f
+)
+select r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, cast(r.score as bigint) as score from ranked r join total t on t.lang = r.lang where rank <= 2000
+"""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, oracle, packing, sharding, toxicity
+from . import chat, collocations, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, oracle, packing, periodic_runs, sharding, toxicity
 from .common import shared_dir
 
 
@@ -118,10 +119,30 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing)}
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a text; of one document in ten, by the checksum of its id, the words from some place on repeat a few of them over and over."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing, op11_periodic_runs, op12_collocations)}
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_near_dedup": oracle.OP2_SQL,
     "op3_line_dedup": oracle.OP3_SQL,
     "op7_minhash_near_dedup": oracle.OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "op12_collocations": oracle.OP12_SQL,
 }
