@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, oracle, packing, periodic_runs, sharding, toxicity
+from . import chat, collision_search, collocations, decontamination, embedding_dedup, html_text, language, line_dedup, minhash_dedup, oracle, packing, periodic_runs, sharding, toxicity
 from .common import shared_dir
 
 
@@ -138,7 +138,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing, op11_periodic_runs, op12_collocations)}
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op6_decontamination, op5_sharding, op7_minhash_near_dedup, op8_chat_formatting, op9_language_id, op10_pattern_packing, op11_periodic_runs, op12_collocations, op13_collision_search)}
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_near_dedup": oracle.OP2_SQL,
     "op3_line_dedup": oracle.OP3_SQL,
