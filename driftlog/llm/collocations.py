@@ -36,7 +36,7 @@ from .perfect_hash import Slots
 LEAST, MOST_WORDS, COVER, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 CHUNK, LIVE, FAN = 1 << 16, 256, 32
-WORDS_HELD, KEYS_HELD, IDS_HELD = 1 << 19, 1 << 22, 1 << 20  # different words, keys and word slots that a task gathers before it passes them on
+WORDS_HELD, KEYS_HELD, IDS_HELD = 1 << 18, 1 << 21, 1 << 19  # different words, keys and word slots that a task gathers before it passes them on
 RARE, BREAK = -1, -2
 _from = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + BREAKS
 PLAIN = bytes.maketrans(_from, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(BREAKS))
@@ -105,30 +105,41 @@ def encoded(texts: DataFrame, words: Slots) -> DataFrame:
 
     def run(batches):
         known: dict[str, dict[bytes, int]] = {}
-        held, size, words_held = [], 0, 0
+        held: dict[str, list[bytes]] = {}
+        ready: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def numbered():
+            if sum(map(len, known.values())) > WORDS_HELD:
+                known.clear()
+            for lang, some in held.items():
+                mine = known.setdefault(lang, {b"\n": BREAK})
+                new = list(set(some).difference(mine))
+                mine.update(zip(new, words.find(np.array([word_key(lang, w) for w in new], np.int64)).tolist()))
+                ready.setdefault(lang, []).append(np.fromiter(map(mine.__getitem__, some), np.int32, len(some)))
+            held.clear()
+
+        def passed():
+            for ids in ready.values():
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary())], names=["ids"])
+            ready.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 lang = lang.as_py()
-                mine = known.setdefault(lang, {b"\n": BREAK})
                 for some in tokens(text.as_py()):
-                    new = list(set(some).difference(mine))
-                    if new:
-                        if words_held + len(new) > WORDS_HELD:
-                            known.clear()
-                            mine = known[lang] = {b"\n": BREAK}
-                            new, words_held = list(set(some).difference(mine)), 0
-                        words_held += len(new)
-                        slots = words.find(np.array([word_key(lang, w) for w in new], np.int64))
-                        mine.update(zip(new, slots.tolist()))
-                    held.append(np.fromiter(map(mine.__getitem__, some), np.int32, len(some)))
+                    held.setdefault(lang, []).extend(some)
                     size += len(some)
-                held.append(np.array([BREAK], np.int32))
-                if size > IDS_HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["ids"])
-                    held, size = [], 0
+                    if size > IDS_HELD:
+                        numbered()
+                        size = 0
+                held.setdefault(lang, []).append(b"\n")
+                if ready:  # a row ends where a text ends
+                    numbered()
+                    yield from passed()
             release()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["ids"])
+        numbered()
+        yield from passed()
 
     return texts.mapInArrow(run, "ids binary")
 
