@@ -9,7 +9,7 @@ INPUTS = {
     # one batch per square root; faults by arrival number
     "batch": """select b.turn, b.batch_id, coalesce(w.owner_user_id, -1) as user_id, b.device_id, b.op_id, b.entity, b.operation, b.entity_id, b.payload, b.created_at, b.received_at, b.playlist_id from (
       select seq as turn, cast(floor(sqrt(seq)) as bigint) as batch_id, received_at,
-      case when cast(floor(sqrt(seq)) as bigint) % 17 <> 0 then concat('d', cast(cast(floor(sqrt(seq)) as bigint) % 4 as STRING)) end as device_id,
+      case when cast(floor(sqrt(seq)) as bigint) % 19 = 0 then ' ' when cast(floor(sqrt(seq)) as bigint) % 17 <> 0 then concat('d', cast(cast(floor(sqrt(seq)) as bigint) % 4 as STRING)) end as device_id,
       case when seq % 83 = 0 then null when seq % 29 = 0 then ' ' when seq % 31 = 0 then repeat('x', 129) when seq % 37 = 0 then repeat('😀', 65)
         when seq % 10 = 9 then concat('o', cast(seq - 1 as STRING)) else concat('o', cast(seq as STRING)) end as op_id,
       case when seq % 83 = 0 then null when seq % 41 = 0 then 'tracks' when seq % 43 = 0 then 'albums' else entity end as entity,
@@ -17,7 +17,7 @@ INPUTS = {
       case when seq % 83 = 0 then null when seq % 53 = 0 then '' else entity_id end as entity_id,
       case when seq % 83 = 0 then null when seq % 59 = 0 then '[1]' when seq % 61 = 0 then '{bad' when seq % 67 = 0 then '{"a":1} trailing' when seq % 71 = 0 then DEEP when seq % 73 = 0 then BIG else payload end as payload,
       case when seq % 83 = 0 then null when seq % 79 = 0 then 0 else created_at end as created_at,
-      case when seq % 83 = 0 then null else playlist_id end as playlist_id
+      case when seq % 83 = 0 then null when seq % 97 = 0 and entity = 'playlist_items' then '' else playlist_id end as playlist_id
       from ops) b left join owners w on w.playlist_id = concat('p', cast(b.batch_id % 7 as STRING))""".replace("DEEP", DEEP).replace("BIG", BIG),
     "some_owners": "select * from owners where cast(substr(playlist_id, 2) as int) % 3 <> 0",
     "payloads": """select seq, entity, entity_id, operation, created_at, case seq % 12

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from ..operators import log as L
 from ..operators import push as P
 from ..operators import reconcile as R
 from ..operators import upkeep as U
+from ..sources import bodies as B
 from ..sources import views as V
+from ..sources.shared import kept
 from .inputs import input_sql
 from .queries import ACTIVE_DAYS, GRACE_DAYS, LIMIT, SINCE, Store, visible
 
@@ -35,18 +38,15 @@ class Service(Store):
     def some_owners(self) -> DataFrame:
         return self.read("some_owners")
 
-    def judged(self) -> DataFrame:
-        return P.judged(self.read("batch"), self.some_owners, self.shares, MAX_OPS)
+    @cached_property
+    def push(self) -> P.Push:
+        return P.Push(self.read("batch"), self.some_owners, self.shares, max_ops=MAX_OPS)
 
-    def accepted(self) -> DataFrame:
-        return self.judged().where("reason is null")
-
-    def kept_log(self) -> DataFrame:
-        """What the log holds before the push: every sixth accepted operation."""
-        return self.accepted().where("turn % 6 = 0").select("user_id", "op_id", F.col("turn").alias("seq"))
-
-    def appended(self) -> DataFrame:
-        return P.appended(self.kept_log(), self.accepted(), "turn")
+    @cached_property
+    def push_on_log(self) -> P.Push:
+        """The push on a log that holds every sixth accepted operation already."""
+        self.push.log = kept(self.push.accepted.where("turn % 6 = 0").select("user_id", "op_id", F.col("turn").alias("seq"), "entity", "entity_id"))
+        return self.push
 
     def hashed(self) -> DataFrame:
         lists = self.read("playlists", folded=L.state(self.ops.where("entity = 'playlists'")))
@@ -80,12 +80,34 @@ def payload_fields(s: Service) -> DataFrame:
     )
 
 
-def body_ops(s: Service) -> DataFrame:
-    """Requests as texts, each tenth one broken, taken apart."""
-    op = F.to_json(F.struct("op_id", "entity", "operation", "entity_id", "created_at"))
-    body = s.ops.groupBy(F.floor(F.col("seq") / 50).alias("batch_id")).agg(F.concat(F.lit('{"device_id":"d","ops":['), F.array_join(F.array_sort(F.collect_list(op)), ","), F.lit("]}")).alias("body"))
-    broken = body.withColumn("body", F.when(F.col("batch_id") % 10 == 0, F.expr("left(body, 40)")).when(F.col("batch_id") % 10 == 1, F.concat(F.lit('{"x":' + "[" * 128 + "]" * 128 + ","), F.expr("substring(body, 2)"))).otherwise(F.col("body")))
-    return P.bodies(broken).select("batch_id", "refused", "op_id", "entity_id", "created_at")
+def body_lines(s: Service) -> DataFrame:
+    """The log's operations in requests of fifty, as texts: broken off, nested too deep, without operations, of the wrong kind, oddly spelled."""
+    text = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    names = {name: F.when(F.col("batch_id") % 10 == 6, F.lit(name.upper())).otherwise(F.lit(name)) for name in ("opId", "entity", "entityId", "operation", "payload", "createdAt")}
+    at = F.when(F.col("batch_id") % 10 == 6, F.concat(F.lit('"'), F.col("created_at"), F.lit('"'))).otherwise(F.col("created_at").cast("string"))
+    payload = F.when(F.col("entity") == "playlist_items", F.concat(F.lit('{ "playlistId" : "'), F.col("playlist_id"), F.lit('",  "n":1.50, "m": [ ] }'))).otherwise(F.col("payload"))
+    values = {"opId": text("op_id"), "entity": text("entity"), "entityId": text("entity_id"), "operation": text("operation"), "payload": payload, "createdAt": at}
+    op = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit('"'), names[n], F.lit('":'), v) for n, v in values.items())), F.lit("}"))
+    rows = s.ops.withColumn("batch_id", F.floor(F.col("seq") / 50))
+    listed = rows.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", op.alias("op")))), lambda x: x["op"]), ",").alias("ops"))
+    kind, whole = F.col("batch_id") % 10, F.concat(F.lit('{"deviceId":"d","ops":['), F.col("ops"), F.lit("]}"))
+    return listed.select(
+        "batch_id",
+        F.when(kind == 0, F.substring(whole, 1, 40))
+        .when(kind == 1, F.concat(F.lit('{"x":' + "[" * 128 + "]" * 128 + ","), F.substring(whole, 2, 1 << 30)))
+        .when(kind == 2, '{"deviceId":"d","ops":null}')
+        .when(kind == 3, F.concat(F.lit("["), whole, F.lit("]")))
+        .when(kind == 4, F.concat(F.lit('{"ops":[{"opId":5},'), F.col("ops"), F.lit("]}")))
+        .when(kind == 5, F.concat(F.lit('{"ops":[],"DEVICEID" : "e", "Ops":[null,'), F.col("ops"), F.lit("]}")))
+        .otherwise(whole)
+        .alias("body"),
+    )
+
+
+def body_push(s: Service) -> DataFrame:
+    """From bodies to the verdict on each operation, in one chain: each request is another user's."""
+    rows = B.operations(B.requests(body_lines(s))).withColumns({"user_id": F.col("batch_id") % 7, "turn": F.col("batch_id") * 1000 + F.col("nth"), "received_at": F.lit(V.NOW_MS)})
+    return P.Push(rows, s.some_owners, s.shares, max_ops=MAX_OPS).judged.select("batch_id", "nth", "playlist_id", "reason")
 
 
 def targets(s: Service) -> DataFrame:
@@ -123,13 +145,16 @@ def pull_cursor(s: Service) -> DataFrame:
 
 BUILD = {
     "batch_gate": lambda s: P.gated(s.read("batch"), MAX_OPS),
-    "push_accepted": lambda s: s.accepted().select("batch_id", "turn"),
-    "push_rejected": lambda s: s.judged().where("reason is not null").select("batch_id", "turn", "reason"),
-    "assign_seq": lambda s: s.appended().select("user_id", "op_id", "seq"),
-    "push_head": lambda s: P.heads(s.kept_log(), s.appended()),
-    "push_owners": lambda s: P.claimed(s.some_owners, s.accepted(), "turn").select("playlist_id", "owner_user_id"),
+    "push_accepted": lambda s: s.push.accepted.select("batch_id", "turn"),
+    "push_rejected": lambda s: s.push.judged.where("reason is not null").select("batch_id", "turn", "reason"),
+    "assign_seq": lambda s: s.push_on_log.appended.select("user_id", "op_id", "seq"),
+    "push_head": lambda s: s.push_on_log.heads,
+    "push_owners": lambda s: s.push.owners_now.select("playlist_id", "owner_user_id"),
+    "push_superfluous": lambda s: s.push_on_log.superfluous,
     "batch_targets": targets,
-    "body_ops": body_ops,
+    "body_ops": lambda s: B.operations(B.requests(body_lines(s))).select("batch_id", "nth", "device_id", "op_id", "entity_id", "payload", "created_at"),
+    "body_refused": lambda s: B.requests(body_lines(s)).select("batch_id", "refused"),
+    "body_push": body_push,
     "payload_fields": payload_fields,
     "playlist_id_of": lambda s: payload_fields(s).where("routed is not null").groupBy("routed").agg(F.count("*").alias("n")),
     "pull_limit": lambda s: s.ops.select("seq", C.clamped(F.when(F.col("track_id") % 7 > 0, F.col("track_id") - 20), 50, 1, 60).cast("long").alias("page"), F.greatest(F.coalesce(F.when(F.col("track_id") % 3 > 0, F.col("track_id")), F.lit(30)), F.lit(30)).cast("long").alias("days")),

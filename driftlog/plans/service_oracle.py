@@ -6,17 +6,24 @@ from .oracle import VIEWS
 EXTRA = ",\n".join(
     f"{name} as ({input_sql(name, 'varchar', 'sha256(text)')})" for name in ("batch", "some_owners", "payloads", "pulls", "grants", "revokes", "uploads")
 )
+# The reference's rule of a push: batches come one after the other; a playlist without an owner goes to the first that names it in a sound operation.
 PUSH = """,
-gate as (select batch_id, count(*) as n, case when max(device_id) is null then 'no_device' when count(*) > 150 then 'too_many' else 'ok' end as verdict from batch group by batch_id),
-judged as (select b.*, case when turn % 83 = 0 then 'op' when turn % 29 = 0 or turn % 31 = 0 or turn % 37 = 0 then 'op_id' when turn % 41 = 0 then 'tracks' when turn % 43 = 0 then 'entity' when turn % 47 = 0 then 'operation'
-    when turn % 53 = 0 then 'entity_id' when turn % 59 = 0 or turn % 61 = 0 or turn % 67 = 0 then 'payload' when turn % 71 = 0 then 'depth' when turn % 73 = 0 then 'size' when turn % 79 = 0 then 'created_at'
-    when b.entity in ('playlists', 'playlist_items') and b.playlist_id in (select playlist_id from some_owners o where o.owner_user_id <> b.user_id)
-      and not exists (select 1 from shares s where s.playlist_id = b.playlist_id and s.grantee_user_id = b.user_id and s.can_edit = 1) then 'denied' end as reason
+gate as (select batch_id, count(*) as n, case when count(*) > 150 then 'too_many' when max(nullif(trim(device_id), '')) is null then 'no_device' else 'ok' end as verdict from batch group by batch_id),
+admitted as (select b.*, case when turn % 83 = 0 then 'op' when turn % 29 = 0 or turn % 31 = 0 or turn % 37 = 0 then 'op_id' when turn % 41 = 0 then 'tracks' when turn % 43 = 0 then 'entity' when turn % 47 = 0 then 'operation'
+    when turn % 53 = 0 then 'entity_id' when turn % 59 = 0 or turn % 61 = 0 or turn % 67 = 0 then 'payload' when turn % 71 = 0 then 'depth' when turn % 73 = 0 then 'size' when turn % 79 = 0 then 'created_at' end as fault
   from batch b where batch_id in (select batch_id from gate where verdict = 'ok')),
+sound as (select * from admitted where fault is null and playlist_id <> ''),
+claims as (select distinct playlist_id, first_value(user_id) over (partition by playlist_id order by turn) as owner_user_id from sound where playlist_id not in (select playlist_id from some_owners)),
+owned as (select playlist_id, owner_user_id from some_owners union all select playlist_id, owner_user_id from claims),
+judged as (select a.*, coalesce(fault, case
+    when playlist_id = '' then case when exists (select 1 from sound s where s.batch_id = a.batch_id) then 'denied' end
+    when exists (select 1 from owned o where o.playlist_id = a.playlist_id and o.owner_user_id <> a.user_id)
+      and not exists (select 1 from shares s where s.playlist_id = a.playlist_id and s.grantee_user_id = a.user_id and s.can_edit = 1) then 'denied' end) as reason from admitted a),
 accepted as (select * from judged where reason is null),
-kept as (select user_id, op_id, turn as seq from accepted where turn % 6 = 0),
+kept as (select user_id, op_id, turn as seq, entity, entity_id from accepted where turn % 6 = 0),
 fresh as (select user_id, op_id, min(turn) as turn from accepted a where not exists (select 1 from kept k where k.user_id = a.user_id and k.op_id = a.op_id) group by user_id, op_id),
-new as (select user_id, op_id, (select coalesce(max(seq), 0) from kept) + row_number() over (order by turn) as seq from fresh)"""
+new as (select user_id, op_id, (select coalesce(max(seq), 0) from kept) + row_number() over (order by turn) as seq, turn from fresh),
+queues as (select user_id, entity_id, seq from kept where entity = 'queue_state' union all select a.user_id, a.entity_id, n.seq from new n join accepted a on a.turn = n.turn where a.entity = 'queue_state')"""
 EXPORT = ",\nfolded as (select * from state where entity = 'playlists'),\nplaylists as (" + input_sql("playlists", "varchar") + """),
 listed as (select i.user_id, i.playlist_id, i.track_id, i.entity_id, i.seq, i.track_id in (select p_partkey from part where p_size > 10) as there
   from items i join lists l on l.user_id = i.user_id and l.playlist_id = i.playlist_id),
@@ -45,17 +52,30 @@ SAFE = """safe as (select user_id, coalesce(min(case when greatest(0, (170674560
   count(*) filter (greatest(0, (1706745600000 - updated_at) // 86400000) <= 3) as active_devices from device_cursors group by user_id),
 kept_ops as (select o.*, coalesce(s.safe_cursor, 0) as safe_cursor, coalesce(s.devices, 0) as devices, coalesce(s.active_devices, 0) as active_devices, max(o.seq) over (partition by o.user_id) as head,
   o.entity = 'play_events' and o.seq <= coalesce(s.safe_cursor, 0) and o.received_at < 1706745600000 - 86400000 and o.seq < max(o.seq) over (partition by o.user_id) as prunable from ops o left join safe s on s.user_id = o.user_id)"""
+BODIES = """numbered as (select cast(seq // 50 as bigint) as batch_id, row_number() over (partition by seq // 50 order by seq) - 1 as place, * from ops),
+body_rows as (select batch_id, cast(place + case when batch_id % 10 = 5 then 1 else 0 end as integer) as nth, case when batch_id % 10 = 5 then 'e' else 'd' end as device_id, op_id, entity_id,
+    case when entity = 'playlist_items' then '{ "playlistId" : "' || playlist_id || '",  "n":1.50, "m": [ ] }' else payload end as payload, created_at, entity, playlist_id as routed
+  from numbered where batch_id % 10 in (5, 6, 7, 8, 9)
+  union all select distinct batch_id, 0, 'e', null, null, null, null, null, null from numbered where batch_id % 10 = 5),
+body_owners as (select playlist_id, owner_user_id from some_owners union all select distinct routed, first_value(batch_id % 7) over (partition by routed order by batch_id, nth)
+  from body_rows where routed is not null and routed not in (select playlist_id from some_owners))"""
 JUDGED_UPLOADS = """sent as (select user_id, turn, text, lower(trim(string_split(mime_type, ';')[1])) as mime, case when turn % 6 in (1, 2) then 'type' when strlen(text) = 0 then 'empty' when strlen(text) > 20000 then 'size'
   when turn % 5 = 1 then 'hash_form' when turn % 5 = 2 then 'hash' end as reason from uploads)"""
 BODY = {
     "batch_gate": ("", "select * from gate"),
     "push_accepted": ("", "select batch_id, turn from accepted"),
     "push_rejected": ("", "select batch_id, turn, reason from judged where reason is not null"),
-    "assign_seq": ("", "select * from new"),
+    "assign_seq": ("", "select user_id, op_id, seq from new"),
+    "push_superfluous": ("", "select user_id, entity_id, seq from queues q where exists (select 1 from queues r where r.user_id = q.user_id and r.entity_id = q.entity_id and r.seq > q.seq)"),
     "push_head": ("", "select user_id, max(seq) as head from (select user_id, seq from kept union all select user_id, seq from new) where user_id in (select user_id from new) group by user_id"),
-    "push_owners": ("", "select playlist_id, owner_user_id from some_owners union all select playlist_id, arg_min(user_id, turn) from accepted where playlist_id is not null and playlist_id not in (select playlist_id from some_owners) group by playlist_id"),
+    "push_owners": ("", "select * from owned"),
     "batch_targets": ("", "select distinct batch_id, 'playlist' as kind, playlist_id as target from batch where playlist_id is not null union all select distinct batch_id, 'queue', entity_id from batch where entity = 'queue_state'"),
-    "body_ops": ("", "select cast(seq // 50 as bigint) as batch_id, false as refused, op_id, entity_id, created_at from ops where (seq // 50) % 10 > 1 union all select distinct cast(seq // 50 as bigint), true, cast(null as varchar), cast(null as varchar), cast(null as bigint) from ops where (seq // 50) % 10 < 2"),
+    "body_refused": ("", "select distinct cast(seq // 50 as bigint) as batch_id, (seq // 50) % 10 in (0, 1, 3, 4) as refused from ops"),
+    "body_ops": (BODIES, "select * exclude (entity, routed) from body_rows"),
+    "body_push": (BODIES, """select batch_id, nth, routed as playlist_id, coalesce(case when op_id is null then 'op' end, case
+      when exists (select 1 from body_owners o where o.playlist_id = routed and o.owner_user_id <> batch_id % 7)
+        and not exists (select 1 from shares s where s.playlist_id = routed and s.grantee_user_id = batch_id % 7 and s.can_edit = 1) then 'denied' end) as reason
+      from body_rows where batch_id in (select batch_id from body_rows group by batch_id having count(*) <= 150)"""),
     "payload_fields": ("", PAYLOAD),
     "playlist_id_of": ("", f"select routed, count(*) as n from ({PAYLOAD}) where routed is not null group by routed"),
     "pull_limit": ("", "select seq, cast(least(60, greatest(1, case when track_id % 7 = 0 then 50 else track_id - 20 end)) as bigint) as page, cast(case when track_id % 3 = 0 then 30 else greatest(30, track_id) end as bigint) as days from ops"),

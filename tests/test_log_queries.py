@@ -82,7 +82,7 @@ def test_empty_tables_nulls_and_repeats(spark):
         shares = spark.createDataFrame([], "playlist_id string, grantee_user_id long, can_edit int, created_at long")
         cursors = spark.createDataFrame([], "user_id long, device_id string, cursor long, updated_at long")
         assert owners.count() == owned and L.members(log).count() == owned
-        judged = P.judged(log.withColumn("batch_id", F.lit(1)), owners, shares, 10)
+        judged = P.judged(log.withColumns({"batch_id": F.lit(1), "turn": F.col("seq")}), owners, shares, 10)
         assert judged.where("reason is null").count() == 2 * owned
         assert P.appended(log.limit(0), judged.where("reason is null"), "seq").count() == owned
         assert U.retention(log, cursors, 10, 1, 1).where("prunable").count() == 0
