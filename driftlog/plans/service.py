@@ -48,18 +48,30 @@ class Service(Store):
         self.push.log = kept(self.push.accepted.where("turn % 6 = 0").select("user_id", "op_id", F.col("turn").alias("seq"), "entity", "entity_id"))
         return self.push
 
+    @cached_property
     def hashed(self) -> DataFrame:
-        lists = self.read("playlists", folded=L.state(self.ops.where("entity = 'playlists'")))
-        tracks = L.members(self.ops)
-        listed = lists.join(tracks, ["user_id", "playlist_id"], "left").withColumn("tracks", F.coalesce("tracks", F.array().cast("array<bigint>")))
+        of_lists = kept(self.ops.where("entity in ('playlists', 'playlist_items')"))
+        lists = self.read("playlists", folded=L.state(of_lists.where("entity = 'playlists'")))
+        listed = lists.join(L.members(of_lists), ["user_id", "playlist_id"], "left").withColumn("tracks", F.coalesce("tracks", F.array().cast("array<bigint>")))
         catalog = V.table(self.spark, self.sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("track_id"))
-        return R.hashed(R.resolved(listed, catalog), lists.where("has_image").select("user_id", "image_hash"))
+        return kept(R.hashed(R.resolved(listed, catalog), lists.where("has_image").select("user_id", "image_hash")))
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        """What the last export recorded."""
+        return kept(self.read("mapped", hashed=self.hashed))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return kept(self.read("items", playlists=self.hashed, mapped=self.mapping))
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return kept(R.plan(self.hashed, self.mapping, self.items))
 
-    def export(self) -> tuple[DataFrame, DataFrame]:
-        """The last export's map and the plan of actions."""
-        state = self.hashed()
-        mapping = self.read("mapped", hashed=state)
-        return mapping, R.plan(state, mapping, self.read("items", playlists=state, mapped=mapping))
+    @cached_property
+    def artworks(self) -> DataFrame:
+        return kept(R.artwork(self.hashed, self.actions, self.items))
 
     def uploads(self) -> DataFrame:
         rows = self.read("uploads", documents=V.table(self.spark, self.sf_dir, "documents")).withColumn("bytes", F.col("text").cast("binary"))
@@ -175,11 +187,12 @@ BUILD = {
     "blob_lookup": lookups,
     "orphan_listing": lambda s: U.orphans_listed(s.orphans).select("user_id", "image_hash", "age_days", "nth"),
     "reclaim_report": lambda s: U.reclaim_report(s.orphans),
-    "resolved_tracks": lambda s: s.hashed().select("user_id", "playlist_id", F.array_join("resolved", ",").alias("resolved"), "unresolved", "artwork_missing", "content_hash"),
-    "export_map": lambda s: s.export()[0].select("user_id", "playlist_id", "target_item_id", "content_hash"),
-    "export_plan": lambda s: s.export()[1],
-    "adopt_targets": lambda s: s.export()[1].where("action = 'adopted'").select("user_id", "playlist_id", "target_item_id"),
-    "export_report": lambda s: R.report(s.export()[1]),
-    "export_map_upsert": lambda s: R.mapping_after(*s.export()),
+    "resolved_tracks": lambda s: s.hashed.select("user_id", "playlist_id", F.array_join("resolved", ",").alias("resolved"), "unresolved", "artwork_missing", "content_hash"),
+    "export_map": lambda s: s.mapping.select("user_id", "playlist_id", "target_item_id", "content_hash"),
+    "export_plan": lambda s: s.actions,
+    "adopt_targets": lambda s: s.actions.where("action = 'adopted'").select("user_id", "playlist_id", "target_item_id"),
+    "export_artwork": lambda s: s.artworks,
+    "export_report": lambda s: R.report(s.actions, s.hashed, s.artworks),
+    "export_map_upsert": lambda s: R.mapping_after(s.mapping, s.actions),
 }
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(Service(spark, sf_dir))) for name, build in BUILD.items()}

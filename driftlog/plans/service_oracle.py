@@ -24,27 +24,36 @@ kept as (select user_id, op_id, turn as seq, entity, entity_id from accepted whe
 fresh as (select user_id, op_id, min(turn) as turn from accepted a where not exists (select 1 from kept k where k.user_id = a.user_id and k.op_id = a.op_id) group by user_id, op_id),
 new as (select user_id, op_id, (select coalesce(max(seq), 0) from kept) + row_number() over (order by turn) as seq, turn from fresh),
 queues as (select user_id, entity_id, seq from kept where entity = 'queue_state' union all select a.user_id, a.entity_id, n.seq from new n join accepted a on a.turn = n.turn where a.entity = 'queue_state')"""
+# The reference's export of a user: its playlists one after the other, each seeing the items as the earlier ones left them; '' is no stamp, '-' a deleted item.
 EXPORT = ",\nfolded as (select * from state where entity = 'playlists'),\nplaylists as (" + input_sql("playlists", "varchar") + """),
 listed as (select i.user_id, i.playlist_id, i.track_id, i.entity_id, i.seq, i.track_id in (select p_partkey from part where p_size > 10) as there
   from items i join lists l on l.user_id = i.user_id and l.playlist_id = i.playlist_id),
 tracks as (select user_id, playlist_id, coalesce(string_agg(cast(track_id as varchar), ',' order by entity_id, seq) filter (there), '') as resolved, count(*) filter (not there) as unresolved from listed group by all),
-hashed as (select p.*, coalesce(t.resolved, '') as resolved, coalesce(t.unresolved, 0) as unresolved, p.image_hash is not null and not p.has_image as artwork_missing,
-  upper(sha256(p.name || chr(10) || coalesce(p.image_hash, '') || chr(10) || case when coalesce(t.resolved, '') = '' then '' else t.resolved || ',' end)) || case when p.image_hash is not null and not p.has_image then ':pending-artwork' else '' end as content_hash
+bare as (select p.*, coalesce(t.resolved, '') as resolved, coalesce(t.unresolved, 0) as unresolved, p.image_hash is not null and not p.has_image as artwork_missing,
+  upper(sha256(p.name || chr(10) || coalesce(p.image_hash, '') || chr(10) || case when coalesce(t.resolved, '') = '' then '' else t.resolved || ',' end)) as content_hash
   from playlists p left join tracks t on t.user_id = p.user_id and t.playlist_id = p.playlist_id),
+hashed as (select *, content_hash || case when artwork_missing then ':pending-artwork' else '' end as stored_hash from bare),
 mapped as (""" + input_sql("mapped", "varchar") + "),\ncatalog as (" + input_sql("items", "varchar") + """),
-first as (select h.user_id, h.playlist_id, h.seq, h.name, h.source_id, h.content_hash, m.target_item_id,
-  case when is_smart then 'skipped_smart' when deleted then case when m.target_item_id is null then 'gone' when c.stamp = h.playlist_id then 'deleted' else 'forgotten' end
-    when c.item_id is not null and c.stamp = h.playlist_id and m.content_hash = h.content_hash then 'unchanged' when c.item_id is not null then 'updated' end as action
-  from hashed h left join mapped m on m.user_id = h.user_id and m.playlist_id = h.playlist_id left join catalog c on c.user_id = h.user_id and c.item_id = m.target_item_id),
-by_id as (select * from (select f.user_id, f.playlist_id, c.item_id, row_number() over (partition by c.user_id, c.item_id order by f.seq, f.playlist_id) as nth
-  from first f join catalog c on c.user_id = f.user_id and c.item_id = f.source_id where f.action is null and (c.stamp is null or c.stamp = f.playlist_id)) where nth = 1),
-single as (select user_id, lower(name) as name, min(item_id) as item_id from catalog c where stamp is null and not exists (select 1 from by_id b where b.user_id = c.user_id and b.item_id = c.item_id)
-  group by user_id, lower(name) having count(*) = 1),
-by_name as (select * from (select f.user_id, f.playlist_id, s.item_id, row_number() over (partition by s.user_id, s.item_id order by f.seq, f.playlist_id) as nth
-  from first f join single s on s.user_id = f.user_id and s.name = lower(f.name) where f.action is null and not exists (select 1 from by_id b where b.user_id = f.user_id and b.playlist_id = f.playlist_id)) where nth = 1),
-adopted as (select user_id, playlist_id, item_id from by_id union all select user_id, playlist_id, item_id from by_name),
-plan as (select f.user_id, f.playlist_id, coalesce(f.action, case when a.item_id is not null then 'adopted' else 'created' end) as action, case when f.action is null then a.item_id else f.target_item_id end as target_item_id, f.content_hash
-  from first f left join adopted a on a.user_id = f.user_id and a.playlist_id = f.playlist_id)"""
+turns as (select h.*, m.target_item_id, coalesce(m.content_hash = h.content_hash, false) as same, row_number() over (partition by h.user_id order by h.seq, h.playlist_id) as nth
+  from hashed h left join mapped m on m.user_id = h.user_id and m.playlist_id = h.playlist_id),
+start as (select user_id, map_from_entries(list({'k': item_id, 'v': coalesce(stamp, '')})) as stamps, list({'item': item_id, 'name': lower(name)}) as named from catalog group by user_id),
+walk as (
+  select user_id, cast(0 as bigint) as nth, stamps, named, '' as playlist_id, '' as action, cast(null as varchar) as item from start
+  union all
+  select user_id, nth, case when action in ('updated', 'adopted') then map_concat(stamps, map([item], [playlist_id])) when action = 'deleted' then map_concat(stamps, map([item], ['-'])) else stamps end, named, playlist_id, action,
+    item
+  from (select *, case action when 'adopted' then case when by_id then source_id else only_named[1] end when 'created' then null else target_item_id end as item
+    from (select *, case when is_smart then 'skipped_smart'
+        when deleted then case when target_item_id is null then 'gone' when now not in ('', '-') then 'deleted' else 'forgotten' end
+        when now <> '-' and same and now = playlist_id then 'unchanged' when now <> '-' then 'updated'
+        when by_id or len(only_named) = 1 then 'adopted' else 'created' end as action
+      from (select t.user_id, t.nth, w.stamps, w.named, t.playlist_id, t.is_smart, t.deleted, t.same, t.target_item_id, t.source_id, coalesce(w.stamps[t.target_item_id], '-') as now,
+          coalesce(w.stamps[t.source_id] in ('', t.playlist_id), false) as by_id, list_transform(list_filter(w.named, lambda x: x.name = lower(t.name) and w.stamps[x.item] = ''), lambda x: x.item) as only_named
+        from walk w join turns t on t.user_id = w.user_id and t.nth = w.nth + 1)))),
+plan as (select w.user_id, w.playlist_id, w.action, w.item as target_item_id, h.stored_hash from walk w join hashed h on h.user_id = w.user_id and h.playlist_id = w.playlist_id where nth > 0),
+art as (select p.user_id, p.playlist_id, case when h.artwork_missing then 'missing' when c.image = h.image_hash then 'current' else 'applied' end as artwork
+  from plan p join hashed h on h.user_id = p.user_id and h.playlist_id = p.playlist_id left join catalog c on c.user_id = p.user_id and c.item_id = p.target_item_id
+  where p.action in ('updated', 'adopted', 'created') and h.image_hash is not null)"""
 PAYLOAD = """select seq, case seq % 12 when 0 then 'a' when 1 then '12' when 11 then '1.5' end as name, operation = 'delete' or seq % 12 in (0, 2, 3, 9) as deleted,
   case seq % 12 when 0 then 5 when 1 then 7 when 10 then 11 else created_at end as stamp,
   case entity when 'playlists' then entity_id when 'playlist_items' then case seq % 12 when 3 then 'p1' when 4 then 'p2' when 5 then 'p3' when 9 then 'p4' end end as routed from payloads"""
@@ -99,9 +108,12 @@ BODY = {
     "resolved_tracks": ("", "select user_id, playlist_id, resolved, unresolved, artwork_missing, content_hash from hashed"),
     "export_map": ("", "select user_id, playlist_id, target_item_id, content_hash from mapped"),
     "export_plan": ("", "select * from plan"),
-    "adopt_targets": ("", "select user_id, playlist_id, item_id as target_item_id from adopted"),
-    "export_report": ("", "select user_id, " + ", ".join(f"count(*) filter (action = '{a}') as {a}" for a in ("skipped_smart", "deleted", "forgotten", "unchanged", "updated", "adopted", "created")) + " from plan group by user_id"),
-    "export_map_upsert": ("", "select m.user_id, m.playlist_id, m.target_item_id, m.content_hash from mapped m left join plan p on p.user_id = m.user_id and p.playlist_id = m.playlist_id where coalesce(p.action, '') not in ('deleted', 'forgotten', 'updated', 'adopted', 'created') union all select user_id, playlist_id, target_item_id, content_hash from plan where action in ('updated', 'adopted', 'created')"),
+    "adopt_targets": ("", "select user_id, playlist_id, target_item_id from plan where action = 'adopted'"),
+    "export_artwork": ("", "select * from art"),
+    "export_report": ("", "select p.user_id, " + ", ".join(f"count(*) filter (action = '{a}') as {a}" for a in ("skipped_smart", "deleted", "forgotten", "unchanged", "updated", "adopted", "created"))
+        + ", cast(coalesce(sum(h.unresolved) filter (not h.is_smart and not h.deleted), 0) as bigint) as unresolved, count(*) filter (artwork = 'applied') as artwork_applied, count(*) filter (artwork = 'missing') as artwork_missing"
+        + " from plan p join hashed h on h.user_id = p.user_id and h.playlist_id = p.playlist_id left join art a on a.user_id = p.user_id and a.playlist_id = p.playlist_id group by p.user_id"),
+    "export_map_upsert": ("", "select m.user_id, m.playlist_id, m.target_item_id, m.content_hash from mapped m left join plan p on p.user_id = m.user_id and p.playlist_id = m.playlist_id where coalesce(p.action, '') not in ('deleted', 'forgotten', 'updated', 'adopted', 'created') union all select user_id, playlist_id, target_item_id, stored_hash from plan where action in ('updated', 'adopted', 'created')"),
 }
-EXPORTS = ("resolved_tracks", "export_map", "export_plan", "adopt_targets", "export_report", "export_map_upsert")
-SQL = {name: f"with {VIEWS}, {EXTRA}{PUSH}{EXPORT if name in EXPORTS else ''}{', ' + more if more else ''} {body}" for name, (more, body) in BODY.items()}
+EXPORTS = ("export_artwork", "resolved_tracks", "export_map", "export_plan", "adopt_targets", "export_report", "export_map_upsert")
+SQL = {name: f"with recursive {VIEWS}, {EXTRA}{PUSH}{EXPORT if name in EXPORTS else ''}{', ' + more if more else ''} {body}" for name, (more, body) in BODY.items()}
