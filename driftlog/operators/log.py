@@ -59,7 +59,12 @@ def state(log: DataFrame) -> DataFrame:
 
 def members(log: DataFrame) -> DataFrame:
     """Each user's playlists with their live tracks in order (an empty list where there are none)."""
-    now = state(log.where("entity in ('playlists', 'playlist_items')")).where("not deleted")
+    return members_of(state(log.where("entity in ('playlists', 'playlist_items')")))
+
+
+def members_of(folded: DataFrame) -> DataFrame:
+    """``members`` of a log that was folded by ``state``."""
+    now = folded.where("not deleted")
     items = (
         now.where("entity = 'playlist_items'")
         .groupBy("user_id", "playlist_id")

@@ -21,26 +21,20 @@ NUMBERED_TOGETHER = 1_000_000  # arrival numbers that are ranked in one group, a
 RANGES = 1_000  # groups in which arrival numbers are ranked, at the most
 
 
-def sized(batches: DataFrame, max_ops: int, *more) -> DataFrame:
-    """batch_id, n, ``more`` aggregates and the verdict on each whole batch: ``too_many``, then ``no_device`` (blank in the batch and, where there is such a
-    column, in ``session_device``), else ``ok``."""
+def gated(batches: DataFrame, max_ops: int) -> DataFrame:
+    """batch_id, n and the verdict on each whole batch: ``too_many``, then ``no_device`` (blank in the batch and, where there is such a column, in
+    ``session_device``), else ``ok``."""
     device = F.max(F.when(~blank(F.col("device_id")), F.col("device_id")))
     if "session_device" in batches.columns:
         device = F.coalesce(device, F.max(F.when(~blank(F.col("session_device")), F.col("session_device"))))
     verdict = F.when(F.col("n") > max_ops, "too_many").when(F.col("_device").isNull(), "no_device").otherwise("ok")
-    return batches.groupBy("batch_id").agg(F.count("*").alias("n"), device.alias("_device"), *more).withColumn("verdict", verdict).drop("_device")
-
-
-def gated(batches: DataFrame, max_ops: int) -> DataFrame:
-    return sized(batches, max_ops).select("batch_id", "n", "verdict")
+    return batches.groupBy("batch_id").agg(F.count("*").alias("n"), device.alias("_device")).select("batch_id", "n", verdict.alias("verdict"))
 
 
-def checked(faults: DataFrame, max_ops: int) -> DataFrame:
-    """The operations of admitted batches and ``scoped``: whether a sound operation of the batch names a playlist. ``faults`` are batches with ``reason``, the
-    first envelope rule broken."""
-    scoped = F.max(F.col("reason").isNull() & (F.coalesce("playlist_id", F.lit("")) != "")).alias("scoped")
-    admitted = sized(faults, max_ops, scoped).where("verdict = 'ok'").select("batch_id", "scoped")
-    return faults.join(admitted, "batch_id")
+def checked(batches: DataFrame, max_ops: int) -> DataFrame:
+    """The operations of admitted batches, without their payloads, and ``reason``, the first envelope rule broken."""
+    admitted = gated(batches, max_ops).where("verdict = 'ok'").select("batch_id")
+    return batches.join(admitted, "batch_id", "left_semi").withColumn("reason", first_fault()).drop("payload")
 
 
 def first_claims(rows: DataFrame) -> DataFrame:
@@ -64,7 +58,8 @@ def judged_by(rows: DataFrame, owners: DataFrame, shares: DataFrame) -> DataFram
     pusher may not edit. One without a playlist's name is denied only beside others that have one."""
     known = owners.select("playlist_id", F.col("owner_user_id").alias("_owner"))
     editable = shares.where("can_edit = 1").select("playlist_id", F.col("grantee_user_id").alias("user_id"), F.lit(True).alias("_editable")).distinct()
-    marked = looked_up(looked_up(rows, known, ["playlist_id"], "turn"), kept(editable), ["playlist_id", "user_id"], "turn")
+    scoped = rows.groupBy("batch_id").agg(F.max(F.col("reason").isNull() & (F.coalesce("playlist_id", F.lit("")) != "")).alias("scoped"))
+    marked = looked_up(looked_up(rows, known, ["playlist_id"], "turn"), kept(editable), ["playlist_id", "user_id"], "turn").join(scoped, "batch_id")
     others = (F.col("_owner") != F.col("user_id")) & F.col("_editable").isNull()
     denied = F.when(F.col("playlist_id") == "", F.col("scoped")).otherwise(others)
     return marked.withColumn("reason", F.coalesce("reason", F.when(denied, "denied"))).drop("_owner", "_editable", "scoped")
@@ -117,7 +112,8 @@ def superseded_by(log: DataFrame, accepted: DataFrame, new: DataFrame) -> DataFr
 
 @dataclass
 class Push:
-    """All that follows from pushing ``batches`` on a log and its side tables; each step is computed once, when it is asked for."""
+    """All that follows from pushing ``batches`` on a log and its side tables; each step is computed once, when it is asked for. Payloads are read to judge
+    them and to append them, and take no part in what lies between."""
 
     batches: DataFrame
     owners: DataFrame
@@ -127,7 +123,7 @@ class Push:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return kept(checked(kept(self.batches.withColumn("reason", first_fault())), self.max_ops))
+        return kept(checked(self.batches, self.max_ops))
 
     @cached_property
     def owners_now(self) -> DataFrame:
@@ -145,6 +141,11 @@ class Push:
     def appended(self) -> DataFrame:
         return kept(appended(self.log, self.accepted, "turn"))
 
+    @property
+    def new_rows(self) -> DataFrame:
+        """The appended rows with their payloads."""
+        return self.appended.join(self.batches.select("turn", "payload"), "turn")
+
     @property
     def heads(self) -> DataFrame:
         return heads(self.log, self.appended)

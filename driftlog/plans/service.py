@@ -50,9 +50,9 @@ class Service(Store):
 
     @cached_property
     def hashed(self) -> DataFrame:
-        of_lists = kept(self.ops.where("entity in ('playlists', 'playlist_items')"))
-        lists = self.read("playlists", folded=L.state(of_lists.where("entity = 'playlists'")))
-        listed = lists.join(L.members(of_lists), ["user_id", "playlist_id"], "left").withColumn("tracks", F.coalesce("tracks", F.array().cast("array<bigint>")))
+        folded = kept(L.state(self.ops.where("entity in ('playlists', 'playlist_items')")))
+        lists = self.read("playlists", folded=folded.where("entity = 'playlists'"))
+        listed = lists.join(L.members_of(folded), ["user_id", "playlist_id"], "left").withColumn("tracks", F.coalesce("tracks", F.array().cast("array<bigint>")))
         catalog = V.table(self.spark, self.sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("track_id"))
         return kept(R.hashed(R.resolved(listed, catalog), lists.where("has_image").select("user_id", "image_hash")))
 

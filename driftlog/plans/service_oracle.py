@@ -105,6 +105,15 @@ BODY = {
     "blob_lookup": ("", "select user_id, case when image_hash < '8' then upper(image_hash) else image_hash end as image_hash, not (image_hash < '8' and upper(image_hash) <> image_hash) as found, case when not (image_hash < '8' and upper(image_hash) <> image_hash) then size end as size from blobs"),
     "orphan_listing": ("", "select user_id, image_hash, age_days, cast(row_number() over (partition by user_id order by age_days desc, created_at desc, image_hash) as integer) as nth from orphans where orphan"),
     "reclaim_report": ("", "select user_id, count(*) filter (gone) as reclaimed, cast(coalesce(sum(size) filter (gone), 0) as bigint) as reclaimed_bytes, count(*) filter (not gone) as remaining, cast(coalesce(sum(size) filter (not gone), 0) as bigint) as remaining_bytes from (select *, orphan and age_days >= 10 as gone from orphans) group by user_id"),
+    "store_pull_page": ("", "select * from page"),
+    "store_playlist_ops": ("", "select seq, entity, entity_id, playlist_id, operation, cast(row_number() over (order by seq) as integer) as nth from ops where user_id = (select me from viewer) and entity in ('playlists', 'playlist_items')"),
+    "store_pruned": ("", "select seq, user_id, entity from marked where not prunable"),
+    "store_compacted": ("", "select seq, user_id, entity from ops where entity <> 'queue_state' or seq in (select seq from queue where nth = 1)"),
+    "store_summary": ("", "select user_id, count(*) as n, count(*) filter (entity = 'play_events') as play_events, max(seq) as head from marked where not prunable and (entity <> 'queue_state' or seq in (select seq from queue where nth = 1)) group by user_id"),
+    "store_push": ("", "select n.user_id, n.op_id, n.seq, a.entity, a.playlist_id, o.owner_user_id from new n join accepted a on a.turn = n.turn left join owned o on o.playlist_id = a.playlist_id"),
+    "store_ingest": ("", """select row_number() over (order by turn) as seq, user_id, op_id, entity from (select user_id, op_id, min(turn) as turn, min(entity) as entity from (
+      select user_id, op_id, entity, 10 * seq + ((seq % 18) // 6) * 10000000000 as turn from ops
+      union all select user_id, op_id, entity, 10 * seq + 1 + (seq % 3) * 10000000000 from ops where seq % 7 = 0 and seq % 2 = (seq % 3) % 2) group by user_id, op_id)"""),
     "resolved_tracks": ("", "select user_id, playlist_id, resolved, unresolved, artwork_missing, content_hash from hashed"),
     "export_map": ("", "select user_id, playlist_id, target_item_id, content_hash from mapped"),
     "export_plan": ("", "select * from plan"),

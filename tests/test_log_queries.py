@@ -6,14 +6,12 @@ from driftlog.functions.columns import first_fault, is_object, json_depth
 from driftlog.operators import log as L
 from driftlog.operators import push as P
 from driftlog.operators import upkeep as U
-from driftlog.plans import oracle, queries, service, service_oracle
-from driftlog.sources import store
+from driftlog.plans import oracle, queries, service, service_oracle, stored
 from driftlog.sources import views as V
-from driftlog.streaming.ingest import append_to, incoming
 
 DIR = "/root/testdata/sf0.01"
 TABLES = "events documents labels part customer".split()
-QUERIES, SQL = queries.QUERIES | service.QUERIES, oracle.SQL | service_oracle.SQL
+QUERIES, SQL = queries.QUERIES | service.QUERIES | stored.QUERIES, oracle.SQL | service_oracle.SQL
 
 
 @pytest.fixture(scope="module")
@@ -95,27 +93,6 @@ def test_numbers_run_on_over_ranges(spark, monkeypatch):
     assert [r.seq for r in sorted(rows, key=lambda r: r.arrival)] == list(range(41, 41 + len(rows)))
 
 
-def test_a_stored_log_prunes_by_entity_and_reads_few_rows(spark, tmp_path):
-    store.write_log(V.ops(spark, DIR), str(tmp_path / "log"))
-    log = store.read_log(spark, str(tmp_path / "log"))
-    want = V.ops(spark, DIR).where("entity = 'likes' and user_id = 3 and seq > 10")
-    got = log.where("entity = 'likes' and user_id = 3 and seq > 10")
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(entity" in plan and "GreaterThan(seq,10)" in plan and "EqualTo(user_id,3)" in plan
-    assert sorted(map(repr, got.select("seq", "op_id").collect())) == sorted(map(repr, want.select("seq", "op_id").collect()))
-
-
-def test_continuous_ingest_takes_each_operation_once(spark, tmp_path):
-    schema = "user_id long, op_id string, stamp long"
-    files, log, marks = (str(tmp_path / x) for x in ("in", "log", "marks"))
-    first = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (1, "a", 5)], schema)
-    for batch, held in ((first, 2), (first.unionByName(spark.createDataFrame([(2, "a", 1)], schema)), 3)):
-        batch.coalesce(1).write.mode("append").parquet(files)
-        append_to(incoming(spark, files, first.schema), log, marks).awaitTermination()
-        rows = spark.read.parquet(log)
-        assert rows.count() == held == rows.select("user_id", "op_id").distinct().count()
-
-
 def test_append_is_idempotent(spark):
     log = spark.createDataFrame([(1, "a", 7), (1, "b", 8)], "user_id long, op_id string, seq long")
     batch = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (1, "c", 3), (2, "b", 4)], "user_id long, op_id string, arrival long")
