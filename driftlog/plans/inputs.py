@@ -26,6 +26,20 @@ INPUTS = {
       when 4 then '{"updated_at": 1.5, "deleted": "no", "playlistId": "p2"}' when 5 then '{"playlist_id": 3, "playlistId": "p3", "deleted": null}'
       when 6 then '[1]' when 7 then '{bad' when 9 then '{"deleted": 2, "playlist_id": null, "playlistId": "p4"}'
       when 10 then '{"name": true, "deleted": false, "updated_at": 11}' when 11 then '{"deleted": {"a": 1}, "name": 1.5}' end as payload from ops""",
+    # playlists and items as clients write them, in several spellings, some broken
+    "described": """select user_id, entity, entity_id, operation, created_at, seq, case when entity = 'playlists' then case seq % 6
+      when 0 then concat('{"name":"N', cast(track_id as STRING), '","updated_at":', cast(stamp as STRING), ',"is_smart":0}')
+      when 1 then concat('{"name":"M","updatedAt":', cast(stamp as STRING), ',"isSmart":true,"sourceJellyfinId":"s', cast(track_id as STRING), '"}')
+      when 2 then concat('{"name":5,"deleted":1,"updated_at":', cast(stamp as STRING), '}')
+      when 3 then concat('{"image_hash":"h', cast(track_id as STRING), '","updated_at":null,"updatedAt":3}') when 4 then '[1]'
+      else concat('{"name":"K","imageHash":"g","is_smart":"1","source_jellyfin_id":7,"updated_at":', cast(stamp as STRING), '.5}') end
+      when entity = 'playlist_items' then case seq % 7
+      when 0 then concat('{"playlist_id":"', playlist_id, '","jellyfin_id":"t', cast(track_id as STRING), '","position":"a', cast(track_id % 10 as STRING), '","updated_at":', cast(stamp as STRING), '}')
+      when 1 then concat('{"playlistId":"', playlist_id, '","jellyfinId":', cast(track_id as STRING), ',"position":3,"updated_at":', cast(stamp as STRING), '}')
+      when 2 then concat('{"playlist_id":"', playlist_id, '","updated_at":', cast(stamp as STRING), '}') when 3 then concat('{"playlist_id":"', playlist_id, '","jellyfin_id":"","updated_at":', cast(stamp as STRING), '}')
+      when 4 then concat('{"deleted":"true","playlist_id":"', playlist_id, '","jellyfin_id":"x","updated_at":', cast(stamp as STRING), '}')
+      when 5 then concat('{"playlist_id":null,"playlistId":"p2","jellyfin_id":"t1","updated_at":', cast(stamp as STRING), '}') else '{bad' end
+      else '{}' end as payload from ops""",
     "pulls": "select user_id, device_id, seq % 7000 as cursor, received_at as updated_at, seq as turn from ops where seq % 5 = 0",
     "grants": """select playlist_id, user_id as grantee_user_id, cast(seq % 2 as int) as can_edit, received_at as created_at, seq as turn from ops where entity = 'playlists' and seq % 3 = 0
       union all select playlist_id, grantee_user_id, 1 - can_edit, created_at + 5, 7 from shares""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import log as L
+from ..operators import projection as J
 from ..operators import push as P
 from ..operators import reconcile as R
 from ..operators import upkeep as U
@@ -19,7 +20,7 @@ from ..sources.shared import kept
 from .inputs import input_sql
 from .queries import ACTIVE_DAYS, GRACE_DAYS, LIMIT, SINCE, Store, visible
 
-MAX_OPS, MAX_UPLOAD, OLDER_DAYS = 150, 20_000, 1
+MAX_OPS, MAX_UPLOAD, OLDER_DAYS, PAGE = 150, 20_000, 1, 20
 
 
 class Service(Store):
@@ -122,6 +123,17 @@ def body_push(s: Service) -> DataFrame:
     return P.Push(rows, s.some_owners, s.shares, max_ops=MAX_OPS).judged.select("batch_id", "nth", "playlist_id", "reason")
 
 
+def projected(s: Service) -> DataFrame:
+    return J.projected(s.read("described")).withColumn("tracks", F.array_join("tracks", ","))
+
+
+def device_pages(s: Service) -> tuple[DataFrame, DataFrame]:
+    """The page of every device of every user after its cursor, a third of them far behind, and the cursors it came with."""
+    behind = kept(s.cursors.select("user_id", "device_id", F.when(F.col("cursor") % 3 == 0, F.col("cursor") % 50).otherwise(F.col("cursor") - F.col("cursor") % 400).alias("cursor")))
+    owners = kept(s.owners)
+    return J.pages(s.ops, behind, owners, V.shares(owners), PAGE, block=1000), behind
+
+
 def targets(s: Service) -> DataFrame:
     """What each batch touches: its playlists and its queue devices, each once."""
     rows = s.read("batch")
@@ -164,6 +176,11 @@ BUILD = {
     "push_owners": lambda s: s.push.owners_now.select("playlist_id", "owner_user_id"),
     "push_superfluous": lambda s: s.push_on_log.superfluous,
     "batch_targets": targets,
+    "projected_playlists": projected,
+    "routed_anew": lambda s: J.routed_anew(s.read("described")).select("seq", "playlist_id"),
+    "owners_anew": lambda s: J.owners_anew(J.routed_anew(s.read("described"))),
+    "device_pages": lambda s: device_pages(s)[0],
+    "device_cursors_pulled": lambda s: J.cursors_of(*device_pages(s), PAGE),
     "body_ops": lambda s: B.operations(B.requests(body_lines(s))).select("batch_id", "nth", "device_id", "op_id", "entity_id", "payload", "created_at"),
     "body_refused": lambda s: B.requests(body_lines(s)).select("batch_id", "refused"),
     "body_push": body_push,

@@ -4,7 +4,7 @@ from .inputs import input_sql
 from .oracle import VIEWS
 
 EXTRA = ",\n".join(
-    f"{name} as ({input_sql(name, 'varchar', 'sha256(text)')})" for name in ("batch", "some_owners", "payloads", "pulls", "grants", "revokes", "uploads")
+    f"{name} as ({input_sql(name, 'varchar', 'sha256(text)')})" for name in ("described", "batch", "some_owners", "payloads", "pulls", "grants", "revokes", "uploads")
 )
 # The reference's rule of a push: batches come one after the other; a playlist without an owner goes to the first that names it in a sound operation.
 PUSH = """,
@@ -68,6 +68,18 @@ body_rows as (select batch_id, cast(place + case when batch_id % 10 = 5 then 1 e
   union all select distinct batch_id, 0, 'e', null, null, null, null, null, null from numbered where batch_id % 10 = 5),
 body_owners as (select playlist_id, owner_user_id from some_owners union all select distinct routed, first_value(batch_id % 7) over (partition by routed order by batch_id, nth)
   from body_rows where routed is not null and routed not in (select playlist_id from some_owners))"""
+# Each kind of payload in ``described``, by what the reference reads in it.
+PROJECTED = """told as (select d.*, o.playlist_id as pl, o.track_id, case when entity = 'playlists' and seq % 6 = 3 or entity = 'playlists' and seq % 6 = 5 then created_at else o.stamp end as stamped,
+    operation = 'delete' or entity = 'playlists' and seq % 6 = 2 or entity = 'playlist_items' and seq % 7 = 4 as gone
+  from described d join ops o using (seq, user_id, entity, entity_id, operation, created_at) where entity = 'playlists' and seq % 6 <> 4 or entity = 'playlist_items' and seq % 7 <> 6),
+last_told as (select *, min(seq) over (partition by user_id, entity, entity_id) as first, row_number() over (partition by user_id, entity, entity_id order by stamped desc, seq desc) as nth from told),
+in_lists as (select user_id, pl, first, case seq % 7 when 0 then 't' || track_id else cast(track_id as varchar) end as track, case seq % 7 when 0 then 'a' || (track_id % 10) else '3' end as position
+  from last_told where nth = 1 and entity = 'playlist_items' and not gone and seq % 7 in (0, 1)),
+joined_lists as (select user_id, pl, string_agg(track, ',' order by position, first) as tracks from in_lists group by user_id, pl)"""
+PAGES = """behind as (select user_id, device_id, case when cursor % 3 = 0 then cursor % 50 else cursor - cursor % 400 end as cursor from device_cursors),
+seen_lists as (select owner_user_id as user_id, playlist_id from owners union select grantee_user_id, playlist_id from shares),
+seen_rows as (select b.user_id, b.device_id, o.seq, o.op_id, row_number() over (partition by b.user_id, b.device_id order by o.seq) as nth from behind b join ops o on o.seq > b.cursor
+  and (o.user_id = b.user_id or exists (select 1 from seen_lists l where l.user_id = b.user_id and l.playlist_id = o.playlist_id)))"""
 JUDGED_UPLOADS = """sent as (select user_id, turn, text, lower(trim(string_split(mime_type, ';')[1])) as mime, case when turn % 6 in (1, 2) then 'type' when strlen(text) = 0 then 'empty' when strlen(text) > 20000 then 'size'
   when turn % 5 = 1 then 'hash_form' when turn % 5 = 2 then 'hash' end as reason from uploads)"""
 BODY = {
@@ -114,6 +126,13 @@ BODY = {
     "store_ingest": ("", """select row_number() over (order by turn) as seq, user_id, op_id, entity from (select user_id, op_id, min(turn) as turn, min(entity) as entity from (
       select user_id, op_id, entity, 10 * seq + ((seq % 18) // 6) * 10000000000 as turn from ops
       union all select user_id, op_id, entity, 10 * seq + 1 + (seq % 3) * 10000000000 from ops where seq % 7 = 0 and seq % 2 = (seq % 3) % 2) group by user_id, op_id)"""),
+    "projected_playlists": (PROJECTED, """select p.user_id, entity_id as playlist_id, first as seq, case seq % 6 when 0 then 'N' || track_id when 1 then 'M' when 2 then '5' when 5 then 'K' else '' end as name, seq % 6 in (1, 5) as is_smart,
+      gone as deleted, case seq % 6 when 1 then 's' || track_id when 5 then '7' end as source_id, case seq % 6 when 3 then 'h' || track_id when 5 then 'g' end as image_hash, coalesce(tracks, '') as tracks
+      from last_told p left join joined_lists j on j.user_id = p.user_id and j.pl = p.entity_id where nth = 1 and entity = 'playlists'"""),
+    "routed_anew": ("", "select seq, case entity when 'playlists' then entity_id when 'playlist_items' then case when seq % 7 = 5 then 'p2' when seq % 7 < 5 then playlist_id end end as playlist_id from ops"),
+    "owners_anew": ("", "select entity_id as playlist_id, arg_min(user_id, seq) as owner_user_id, min(seq) as created_at from ops where entity = 'playlists' group by entity_id"),
+    "device_pages": (PAGES, "select user_id, device_id, seq, op_id, cast(nth as integer) as nth from seen_rows where nth <= 21"),
+    "device_cursors_pulled": (PAGES, "select b.user_id, b.device_id, coalesce(max(seq) filter (nth <= 20), any_value(b.cursor)) as cursor, coalesce(max(nth) > 20, false) as has_more from behind b left join seen_rows s on s.user_id = b.user_id and s.device_id = b.device_id group by 1, 2"),
     "resolved_tracks": ("", "select user_id, playlist_id, resolved, unresolved, artwork_missing, content_hash from hashed"),
     "export_map": ("", "select user_id, playlist_id, target_item_id, content_hash from mapped"),
     "export_plan": ("", "select * from plan"),
