@@ -93,10 +93,18 @@ def playlist_of(entity: Column, entity_id: Column, payload: Column) -> Column:
     return F.when(entity == "playlists", entity_id).when(entity == "playlist_items", F.coalesce(*text))
 
 
+HEX = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+GUID_FORMS = rf"^([0-9a-f]{{32}}|{HEX}|\{{{HEX}\}}|\({HEX}\))$"
+GUID_PARTS = (8, 4, 4, *[2] * 8)  # digits of the parts of the form {0x..,0x..,0x..,{0x..,...}}
+GUID_STRUCT = r"^\{0x([0-9a-f]{1,8}),0x([0-9a-f]{1,4}),0x([0-9a-f]{1,4}),\{" + ",".join([r"0x([0-9a-f]{1,2})"] * 8) + r"\}\}$"
+
+
 def guid(text: Column) -> Column:
-    """A GUID as 32 lower-case hexadecimal digits, whatever its dashes and brackets; null for any other text."""
-    bare = F.lower(F.regexp_replace(F.regexp_replace(F.trim(text), r"^[{(]|[})]$", ""), "-", ""))
-    return F.when(bare.rlike(r"^[0-9a-f]{32}$"), bare)
+    """A GUID as 32 lower-case hexadecimal digits, from 32 digits, with dashes in their places, in matching braces or parentheses around these, or in hexadecimal parts; white space
+    around it is no matter. Null for any other text."""
+    bare = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    parts = F.concat(*(F.lpad(F.regexp_extract(bare, GUID_STRUCT, i), n, "0") for i, n in enumerate(GUID_PARTS, 1)))
+    return F.when(bare.rlike(GUID_FORMS), F.regexp_replace(bare, "[^0-9a-f]", "")).when(bare.rlike(GUID_STRUCT), parts)
 
 
 def clamped(value: Column, default: int, low: int, high: int) -> Column:

@@ -70,19 +70,24 @@ def revoked(shares: DataFrame, revokes: DataFrame) -> tuple[DataFrame, DataFrame
     return shares.join(asked, key, "left_anti"), told
 
 
-def retention(log: DataFrame, cursors: DataFrame, now_ms: int, active_days: int, older_days: int) -> DataFrame:
-    """The log with ``prunable`` by each user's own safe cursor: old play events that all the user's active devices have read, never a user's newest row."""
-    per_user = log.groupBy("user_id").agg(F.max("seq").alias("head")).join(safe_cursors(cursors, now_ms, active_days), "user_id", "left")
-    cutoff = now_ms - older_days * 86_400_000
+def retention_days(asked: int | None, configured: int) -> int:
+    """A request may only be more careful than the configuration."""
+    return max(asked if asked is not None else configured, configured)
+
+
+def retention(log: DataFrame, cursors: DataFrame, now_ms: int, days: int) -> DataFrame:
+    """The log with ``prunable`` by each user's own safe cursor: play events older than ``days`` that all devices seen within as many days have read, never a user's newest row."""
+    per_user = log.groupBy("user_id").agg(F.max("seq").alias("head")).join(safe_cursors(cursors, now_ms, days), "user_id", "left")
+    cutoff = now_ms - days * 86_400_000
     gone = (F.col("entity") == "play_events") & (F.col("seq") <= F.coalesce("safe_cursor", F.lit(0))) & (F.col("received_at") < cutoff) & (F.col("seq") < F.col("head"))
     return log.join(per_user, "user_id").withColumn("prunable", gone)
 
 
-def retention_report(log: DataFrame, cursors: DataFrame, now_ms: int, active_days: int, older_days: int) -> DataFrame:
+def retention_report(log: DataFrame, cursors: DataFrame, now_ms: int, days: int) -> DataFrame:
     """Per user: rows by entity that count here, head, safe cursor, devices (all and active) and how many rows may go."""
-    active = age_days(F.col("updated_at"), now_ms) <= active_days
+    active = age_days(F.col("updated_at"), now_ms) <= days
     devices = cursors.groupBy("user_id").agg(F.count("*").alias("devices"), F.count_if(active).alias("active_devices"))
-    rows = retention(log, cursors, now_ms, active_days, older_days).groupBy("user_id").agg(
+    rows = retention(log, cursors, now_ms, days).groupBy("user_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("entity") == "play_events").alias("play_events"), F.max("head").alias("head"), F.coalesce(F.max("safe_cursor"), F.lit(0)).alias("safe_cursor"), F.count_if("prunable").alias("prunable")
     )
     return rows.join(devices, "user_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("devices", "active_devices")})

@@ -43,6 +43,9 @@ INPUTS = {
     "pulls": "select user_id, device_id, seq % 7000 as cursor, received_at as updated_at, seq as turn from ops where seq % 5 = 0",
     "grants": """select playlist_id, user_id as grantee_user_id, cast(seq % 2 as int) as can_edit, received_at as created_at, seq as turn from ops where entity = 'playlists' and seq % 3 = 0
       union all select playlist_id, grantee_user_id, 1 - can_edit, created_at + 5, 7 from shares""",
+    "share_events": """select o.seq as turn, case when o.seq % 4 = 3 then 'revoke' else 'share' end as kind, case when o.seq % 5 = 0 then o.user_id else w.owner_user_id end as actor,
+      case when o.seq % 11 = 0 then ' ' when o.seq % 13 = 0 then 'nope' else o.playlist_id end as playlist_id, case o.seq % 6 when 0 then null when 1 then -7 when 2 then w.owner_user_id else o.user_id % 5 end as grantee_user_id,
+      case when o.seq % 7 > 0 then cast(o.seq % 2 as int) end as can_edit, o.received_at as created_at from ops o left join owners w on w.playlist_id = o.playlist_id where o.entity = 'playlists'""",
     "revokes": "select playlist_id, grantee_user_id from shares where grantee_user_id % 2 = 0 union all select playlist_id, -5 as grantee_user_id from owners",
     "uploads": """select doc_id % 7 as user_id, doc_id as turn,
       case doc_id % 6 when 0 then 'image/PNG; charset=x' when 1 then 'text/plain' when 2 then null when 3 then ' image/webp ' else 'image/jpeg' end as mime_type,

@@ -13,6 +13,7 @@ from ..operators import log as L
 from ..operators import projection as J
 from ..operators import push as P
 from ..operators import reconcile as R
+from ..operators import sharing as H
 from ..operators import upkeep as U
 from ..sources import bodies as B
 from ..sources import views as V
@@ -20,7 +21,8 @@ from ..sources.shared import kept
 from .inputs import input_sql
 from .queries import ACTIVE_DAYS, GRACE_DAYS, LIMIT, SINCE, Store, visible
 
-MAX_OPS, MAX_UPLOAD, OLDER_DAYS, PAGE = 150, 20_000, 1, 20
+MAX_OPS, MAX_UPLOAD, PAGE = 150, 20_000, 20
+DAYS = U.retention_days(2, ACTIVE_DAYS)
 
 
 class Service(Store):
@@ -78,6 +80,11 @@ class Service(Store):
         rows = self.read("uploads", documents=V.table(self.spark, self.sf_dir, "documents")).withColumn("bytes", F.col("text").cast("binary"))
         return U.uploads_judged(rows, MAX_UPLOAD)
 
+    @cached_property
+    def share_requests(self) -> DataFrame:
+        users = V.table(self.spark, self.sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+        return kept(H.judged(self.read("share_events"), self.owners, users))
+
     def some_blobs(self) -> DataFrame:
         return V.blobs(self.spark, self.sf_dir).where("size % 3 = 0")
 
@@ -142,7 +149,13 @@ def targets(s: Service) -> DataFrame:
 
 
 def guids(s: Service) -> DataFrame:
-    raw = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("{"), F.upper(F.lpad(F.hex("user_id"), 8, "0")), F.lit("-0000-4000-8000-00000000000A}"))).when(F.col("user_id") % 4 == 1, F.lit("nobody")).otherwise(F.lpad(F.lower(F.hex("user_id")), 32, "0"))
+    """Users' ids in all forms, two of them broken."""
+    digits, which = F.lpad(F.lower(F.hex("user_id")), 8, "0"), F.col("user_id") % 8
+    dashed = F.concat(F.upper(digits), F.lit("-0000-4000-8000-00000000000A"))
+    around = lambda a, b: F.concat(F.lit(a), dashed, F.lit(b))
+    forms = [around("{", "}"), F.lit("nobody"), around("(", ")"), F.lpad(F.lower(F.hex("user_id")), 32, "0"), around("{", ")"), F.concat(digits, F.lit("-00-004000800000000000000A"))]
+    forms += [F.concat(F.lit("{0x"), F.lower(F.hex("user_id")), F.lit(",0x0,0x4000,{0x80,0x00,0x0,0x0,0x0,0x0,0x0,0xA}}")), around(" ", "\t")]
+    raw = F.get(F.array(*forms), which.cast("int"))
     return s.ops.select(C.guid(raw).alias("user_id")).where("user_id is not null").distinct()
 
 
@@ -195,8 +208,10 @@ BUILD = {
     "share_revoke": lambda s: U.revoked(s.shares, s.read("revokes", shares=s.shares))[1],
     "shares_left": lambda s: U.revoked(s.shares, s.read("revokes", shares=s.shares))[0].select("playlist_id", "grantee_user_id", "can_edit"),
     "share_names": named_shares,
-    "retention_report": lambda s: U.retention_report(s.ops, s.cursors, V.NOW_MS, ACTIVE_DAYS, OLDER_DAYS),
-    "retention_survivors": lambda s: U.retention(s.ops, s.cursors, V.NOW_MS, ACTIVE_DAYS, OLDER_DAYS).where("not prunable").select("seq", "user_id"),
+    "share_verdicts": lambda s: H.verdicts(s.share_requests, s.shares),
+    "shares_after_requests": lambda s: H.after(s.share_requests, s.shares),
+    "retention_report": lambda s: U.retention_report(s.ops, s.cursors, V.NOW_MS, DAYS),
+    "retention_survivors": lambda s: U.retention(s.ops, s.cursors, V.NOW_MS, DAYS).where("not prunable").select("seq", "user_id"),
     "queue_listing": lambda s: U.queue_listing(L.latest(s.ops.where("entity = 'queue_state'").select("user_id", "entity_id", "seq", "received_at"), ["user_id", "entity_id"], F.col("seq")), "d1", V.NOW_MS),
     "blob_integrity": lambda s: s.uploads().select("user_id", "turn", "mime", "reason"),
     "blob_upload": lambda s: U.blobs_after(s.some_blobs(), s.uploads()),

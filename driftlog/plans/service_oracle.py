@@ -4,7 +4,7 @@ from .inputs import input_sql
 from .oracle import VIEWS
 
 EXTRA = ",\n".join(
-    f"{name} as ({input_sql(name, 'varchar', 'sha256(text)')})" for name in ("described", "batch", "some_owners", "payloads", "pulls", "grants", "revokes", "uploads")
+    f"{name} as ({input_sql(name, 'varchar', 'sha256(text)')})" for name in ("described", "share_events", "batch", "some_owners", "payloads", "pulls", "grants", "revokes", "uploads")
 )
 # The reference's rule of a push: batches come one after the other; a playlist without an owner goes to the first that names it in a sound operation.
 PUSH = """,
@@ -60,7 +60,7 @@ PAYLOAD = """select seq, case seq % 12 when 0 then 'a' when 1 then '12' when 11
 SAFE = """safe as (select user_id, coalesce(min(case when greatest(0, (1706745600000 - updated_at) // 86400000) <= 3 then cursor end), 0) as safe_cursor, count(*) as devices,
   count(*) filter (greatest(0, (1706745600000 - updated_at) // 86400000) <= 3) as active_devices from device_cursors group by user_id),
 kept_ops as (select o.*, coalesce(s.safe_cursor, 0) as safe_cursor, coalesce(s.devices, 0) as devices, coalesce(s.active_devices, 0) as active_devices, max(o.seq) over (partition by o.user_id) as head,
-  o.entity = 'play_events' and o.seq <= coalesce(s.safe_cursor, 0) and o.received_at < 1706745600000 - 86400000 and o.seq < max(o.seq) over (partition by o.user_id) as prunable from ops o left join safe s on s.user_id = o.user_id)"""
+  o.entity = 'play_events' and o.seq <= coalesce(s.safe_cursor, 0) and o.received_at < 1706745600000 - 3 * 86400000 and o.seq < max(o.seq) over (partition by o.user_id) as prunable from ops o left join safe s on s.user_id = o.user_id)"""
 BODIES = """numbered as (select cast(seq // 50 as bigint) as batch_id, row_number() over (partition by seq // 50 order by seq) - 1 as place, * from ops),
 body_rows as (select batch_id, cast(place + case when batch_id % 10 = 5 then 1 else 0 end as integer) as nth, case when batch_id % 10 = 5 then 'e' else 'd' end as device_id, op_id, entity_id,
     case when entity = 'playlist_items' then '{ "playlistId" : "' || playlist_id || '",  "n":1.50, "m": [ ] }' else payload end as payload, created_at, entity, playlist_id as routed
@@ -76,6 +76,12 @@ last_told as (select *, min(seq) over (partition by user_id, entity, entity_id)
 in_lists as (select user_id, pl, first, case seq % 7 when 0 then 't' || track_id else cast(track_id as varchar) end as track, case seq % 7 when 0 then 'a' || (track_id % 10) else '3' end as position
   from last_told where nth = 1 and entity = 'playlist_items' and not gone and seq % 7 in (0, 1)),
 joined_lists as (select user_id, pl, string_agg(track, ',' order by position, first) as tracks from in_lists group by user_id, pl)"""
+SHARING = """asked as (select e.*, w.owner_user_id as owner, e.grantee_user_id in (select c_custkey from customer) as known from share_events e left join owners w on w.playlist_id = e.playlist_id),
+ruled as (select *, case when kind = 'share' then case when trim(playlist_id) = '' then 'playlist' when not coalesce(known, false) then 'user' when grantee_user_id = actor then 'self' when owner is null then 'unknown' when owner <> actor then 'not_owner' end
+    when owner is null then 'unknown' when owner <> actor and grantee_user_id is distinct from actor then 'not_yours' end as reason from asked),
+share_log as (select playlist_id, grantee_user_id, -1 as turn, 'share' as kind, can_edit, created_at from shares
+  union all select playlist_id, grantee_user_id, turn, kind, coalesce(can_edit, 1), created_at from ruled where reason is null),
+stood_at as (select r.*, coalesce((select arg_max(l.kind, l.turn) from share_log l where l.playlist_id = r.playlist_id and l.grantee_user_id = r.grantee_user_id and l.turn < r.turn) = 'share', false) as stood from ruled r)"""
 PAGES = """behind as (select user_id, device_id, case when cursor % 3 = 0 then cursor % 50 else cursor - cursor % 400 end as cursor from device_cursors),
 seen_lists as (select owner_user_id as user_id, playlist_id from owners union select grantee_user_id, playlist_id from shares),
 seen_rows as (select b.user_id, b.device_id, o.seq, o.op_id, row_number() over (partition by b.user_id, b.device_id order by o.seq) as nth from behind b join ops o on o.seq > b.cursor
@@ -101,7 +107,10 @@ BODY = {
     "playlist_id_of": ("", f"select routed, count(*) as n from ({PAYLOAD}) where routed is not null group by routed"),
     "pull_limit": ("", "select seq, cast(least(60, greatest(1, case when track_id % 7 = 0 then 50 else track_id - 20 end)) as bigint) as page, cast(case when track_id % 3 = 0 then 30 else greatest(30, track_id) end as bigint) as days from ops"),
     "pull_cursor_event": ("", "select cast(coalesce((select max(seq) from (select seq from page order by seq limit 50)), 100) as bigint) as cursor"),
-    "guid_users": ("", "select distinct case when user_id % 4 = 0 then lower(printf('%08x', user_id)) || '00004000800000000000000a' else printf('%032x', user_id) end as user_id from ops where user_id % 4 <> 1"),
+    "guid_users": ("", "select distinct case when user_id % 8 = 3 then printf('%032x', user_id) else lower(printf('%08x', user_id)) || '00004000800000000000000a' end as user_id from ops where user_id % 8 in (0, 2, 3, 6, 7)"),
+    "share_verdicts": (SHARING, "select turn, kind, coalesce(reason, case when kind = 'revoke' and not stood then 'no_share' end) as reason from stood_at"),
+    "shares_after_requests": (SHARING, """select playlist_id, grantee_user_id, arg_max(can_edit, turn) as can_edit, arg_min(created_at, turn) as created_at from share_log l where kind = 'share'
+      and not exists (select 1 from share_log r where r.playlist_id = l.playlist_id and r.grantee_user_id = l.grantee_user_id and r.kind = 'revoke' and r.turn > l.turn) group by 1, 2"""),
     "storage_status": ("", "select max(seq) as head, count(*) as n, count(distinct user_id) as users from ops"),
     "device_cursor_upsert": ("", "select user_id, device_id, max(cursor) as cursor, arg_max(updated_at, turn) as updated_at from (select user_id, device_id, cursor, updated_at, -1 as turn from device_cursors union all select user_id, device_id, cursor, updated_at, turn from pulls) group by 1, 2"),
     "share_upsert": ("", "select playlist_id, grantee_user_id, arg_max(can_edit, turn) as can_edit, arg_min(created_at, turn) as created_at from (select playlist_id, grantee_user_id, can_edit, created_at, -1 as turn from shares union all select playlist_id, grantee_user_id, can_edit, created_at, turn from grants) group by 1, 2"),
