@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
@@ -77,11 +79,13 @@ class Catalog:
             self.free[user, self.name[user, item]].discard(item)
         self.stamp[user, item] = playlist
 
-    def act(self, user, playlist, item, source, name, smart, deleted, same) -> tuple[str, str | None]:
+    def act(self, user, playlist, item, source, name, smart, deleted, same, bad) -> tuple[str, str | None]:
         """(action, item) of one playlist, and what it does to the items."""
         there = item is not None and (user, item) in self.stamp
         if smart:
             return "skipped_smart", item
+        if bad:
+            return "error", item
         if deleted:
             if not there or self.stamp[user, item] is None:
                 return "gone" if item is None else "forgotten", item
@@ -103,7 +107,7 @@ class Catalog:
         return "created", None
 
 
-def plan(playlists: DataFrame, mapping: DataFrame, items: DataFrame) -> DataFrame:
+def plan(playlists: DataFrame, mapping: DataFrame, items: DataFrame, well_formed: Callable[[Column], Column] | None = None) -> DataFrame:
     """user_id, playlist_id, action, target_item_id, stored_hash per playlist, as a loop over each user's playlists in the order of seq would act.
 
     ``playlists``: user_id, playlist_id, seq (its first), name, source_id, is_smart, deleted, content_hash, stored_hash. ``mapping``: user_id, playlist_id,
@@ -113,36 +117,38 @@ def plan(playlists: DataFrame, mapping: DataFrame, items: DataFrame) -> DataFram
     name in either case, else it is created. Whatever is written is stamped, so that later playlists no longer see it, and two items of one name
     become one once the other is taken.
 
+    Where ``well_formed`` says that a mapped item's id cannot be read, that playlist alone is an ``error``: neither its item nor its mapping is touched, all others go on.
+
     Groups (see ``grouped``) are dealt over tasks and folded row by row in sorted order; a task holds the items of one group.
     """
     mapped = mapping.select("user_id", "playlist_id", F.col("target_item_id").alias("item"), F.col("content_hash").alias("_old"))
-    none = F.lit(None).cast("string")
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    bad = F.col("item").isNotNull() & ~F.coalesce(well_formed(F.col("item")), no) if well_formed else no
     asked = playlists.join(mapped, ["user_id", "playlist_id"], "left").select(
         "user_id", F.lit(1).alias("kind"), "seq", F.col("playlist_id").alias("id"), "item", F.col("source_id").alias("source"), F.lower("name").alias("name"),
         none.alias("stamp"), F.coalesce("is_smart", F.lit(False)).alias("smart"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
-        F.coalesce(F.col("_old") == F.col("content_hash"), F.lit(False)).alias("same"), "stored_hash",
+        F.coalesce(F.col("_old") == F.col("content_hash"), F.lit(False)).alias("same"), bad.alias("bad"), "stored_hash",
     )
-    no = F.lit(False)
-    held = items.select("user_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), F.col("item_id").alias("id"), none.alias("item"), none.alias("source"), F.lower("name").alias("name"), "stamp", no.alias("smart"), no.alias("deleted"), no.alias("same"), none.alias("stored_hash"))
+    held = items.select("user_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), F.col("item_id").alias("id"), none.alias("item"), none.alias("source"), F.lower("name").alias("name"), "stamp", no.alias("smart"), no.alias("deleted"), no.alias("same"), no.alias("bad"), none.alias("stored_hash"))
     rows = grouped(kept(asked.unionByName(held)))
 
     def fold(batches):
         group, catalog = None, Catalog()
         for batch in batches:
             out = []
-            for grp, user, kind, item_or_list, item, source, name, stamp, smart, deleted, same, stored in zip(*(c.to_pylist() for c in batch.columns)):
+            for grp, user, kind, item_or_list, item, source, name, stamp, smart, deleted, same, bad, stored in zip(*(c.to_pylist() for c in batch.columns)):
                 if grp != group:
                     group, catalog = grp, Catalog()
                 if kind == 0:
                     catalog.add(user, item_or_list, name, stamp)
                 else:
-                    out.append((user, item_or_list, *catalog.act(user, item_or_list, item, source, name, smart, deleted, same), stored))
+                    out.append((user, item_or_list, *catalog.act(user, item_or_list, item, source, name, smart, deleted, same, bad), stored))
             columns = list(zip(*out)) or [[]] * 5
             kinds = (batch.schema.field("user_id").type, *[pa.string()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["user_id", "playlist_id", "action", "target_item_id", "stored_hash"])
 
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "kind", "seq", "id")
-    folded = dealt.select("grp", "user_id", "kind", "id", "item", "source", "name", "stamp", "smart", "deleted", "same", "stored_hash")
+    folded = dealt.select("grp", "user_id", "kind", "id", "item", "source", "name", "stamp", "smart", "deleted", "same", "bad", "stored_hash")
     user_type = dict(rows.dtypes)["user_id"]
     return folded.mapInArrow(fold, f"user_id {user_type}, playlist_id string, action string, target_item_id string, stored_hash string")
 
@@ -167,10 +173,10 @@ def mapping_after(mapping: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def report(actions: DataFrame, playlists: DataFrame, artworks: DataFrame) -> DataFrame:
-    """Counters per user, all users in one job: each action, tracks without an item in the catalog (of playlists neither smart nor deleted), artwork applied and missing."""
+    """Counters per user, all users in one job: each action, tracks without an item in the catalog (of playlists neither smart nor deleted), artwork applied and missing, errors."""
     key = ["user_id", "playlist_id"]
     listed = playlists.where("not is_smart and not deleted").select(*key, "unresolved")
     rows = actions.join(listed, key, "left").join(artworks, key, "left")
     count = lambda a: F.count_if(F.col("action") == a).alias(a)
     drawn = lambda a: F.count_if(F.col("artwork") == a).alias(f"artwork_{a}")
-    return rows.groupBy("user_id").agg(*map(count, ACTIONS), F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved"), drawn("applied"), drawn("missing"))
+    return rows.groupBy("user_id").agg(*map(count, ACTIONS), F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved"), drawn("applied"), drawn("missing"), F.count_if(F.col("action") == "error").alias("errors"))

@@ -53,7 +53,7 @@ INPUTS = {
     "playlists": """select user_id, entity_id as playlist_id, seq, concat('P', cast(track_id % 15 as STRING)) as name,
       case when track_id % 6 = 0 then concat('t', cast(user_id as STRING), '_', cast(track_id % 4 as STRING)) end as source_id, track_id % 11 = 0 as is_smart, operation = 'delete' as deleted,
       case when track_id % 5 = 0 then concat('h', cast(track_id as STRING)) end as image_hash, track_id % 10 = 0 as has_image from folded""",
-    "mapped": """select user_id, playlist_id, seq, concat('t', cast(user_id as STRING), '_', cast(seq % 4 as STRING)) as target_item_id,
+    "mapped": """select user_id, playlist_id, seq, case when seq % 21 = 0 then 'broken' else concat('t', cast(user_id as STRING), '_', cast(seq % 4 as STRING)) end as target_item_id,
       case seq % 4 when 0 then content_hash when 2 then stored_hash else 'old' end as content_hash from hashed where seq % 3 = 0""",
     "items": """select u.user_id, concat('t', cast(u.user_id as STRING), '_', cast(n.i as STRING)) as item_id, concat('p', cast((u.user_id + n.i % 3) % 15 as STRING)) as name, s.stamp, concat('h', cast(5 * n.i as STRING)) as image
       from (select distinct user_id from playlists) u cross join (select 0 as i union all select 1 union all select 2 union all select 3) n

@@ -70,7 +70,7 @@ class Service(Store):
 
     @cached_property
     def actions(self) -> DataFrame:
-        return kept(R.plan(self.hashed, self.mapping, self.items))
+        return kept(R.plan(self.hashed, self.mapping, self.items, lambda item: item.rlike("^t[0-9]+_[0-9]+$")))
 
     @cached_property
     def artworks(self) -> DataFrame:

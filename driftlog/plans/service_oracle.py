@@ -43,7 +43,7 @@ walk as (
   select user_id, nth, case when action in ('updated', 'adopted') then map_concat(stamps, map([item], [playlist_id])) when action = 'deleted' then map_concat(stamps, map([item], ['-'])) else stamps end, named, playlist_id, action,
     item
   from (select *, case action when 'adopted' then case when by_id then source_id else only_named[1] end when 'created' then null else target_item_id end as item
-    from (select *, case when is_smart then 'skipped_smart'
+    from (select *, case when is_smart then 'skipped_smart' when target_item_id = 'broken' then 'error'
         when deleted then case when target_item_id is null then 'gone' when now not in ('', '-') then 'deleted' else 'forgotten' end
         when now <> '-' and same and now = playlist_id then 'unchanged' when now <> '-' then 'updated'
         when by_id or len(only_named) = 1 then 'adopted' else 'created' end as action
@@ -132,6 +132,7 @@ BODY = {
     "store_compacted": ("", "select seq, user_id, entity from ops where entity <> 'queue_state' or seq in (select seq from queue where nth = 1)"),
     "store_summary": ("", "select user_id, count(*) as n, count(*) filter (entity = 'play_events') as play_events, max(seq) as head from marked where not prunable and (entity <> 'queue_state' or seq in (select seq from queue where nth = 1)) group by user_id"),
     "store_push": ("", "select n.user_id, n.op_id, n.seq, a.entity, a.playlist_id, o.owner_user_id from new n join accepted a on a.turn = n.turn left join owned o on o.playlist_id = a.playlist_id"),
+    "queue_stream": ("", "select user_id, entity_id, seq, payload, received_at from queue where nth = 1"),
     "store_ingest": ("", """select row_number() over (order by turn) as seq, user_id, op_id, entity from (select user_id, op_id, min(turn) as turn, min(entity) as entity from (
       select user_id, op_id, entity, 10 * seq + ((seq % 18) // 6) * 10000000000 as turn from ops
       union all select user_id, op_id, entity, 10 * seq + 1 + (seq % 3) * 10000000000 from ops where seq % 7 = 0 and seq % 2 = (seq % 3) % 2) group by user_id, op_id)"""),
@@ -148,7 +149,7 @@ BODY = {
     "adopt_targets": ("", "select user_id, playlist_id, target_item_id from plan where action = 'adopted'"),
     "export_artwork": ("", "select * from art"),
     "export_report": ("", "select p.user_id, " + ", ".join(f"count(*) filter (action = '{a}') as {a}" for a in ("skipped_smart", "deleted", "forgotten", "unchanged", "updated", "adopted", "created"))
-        + ", cast(coalesce(sum(h.unresolved) filter (not h.is_smart and not h.deleted), 0) as bigint) as unresolved, count(*) filter (artwork = 'applied') as artwork_applied, count(*) filter (artwork = 'missing') as artwork_missing"
+        + ", cast(coalesce(sum(h.unresolved) filter (not h.is_smart and not h.deleted), 0) as bigint) as unresolved, count(*) filter (artwork = 'applied') as artwork_applied, count(*) filter (artwork = 'missing') as artwork_missing, count(*) filter (action = 'error') as errors"
         + " from plan p join hashed h on h.user_id = p.user_id and h.playlist_id = p.playlist_id left join art a on a.user_id = p.user_id and a.playlist_id = p.playlist_id group by p.user_id"),
     "export_map_upsert": ("", "select m.user_id, m.playlist_id, m.target_item_id, m.content_hash from mapped m left join plan p on p.user_id = m.user_id and p.playlist_id = m.playlist_id where coalesce(p.action, '') not in ('deleted', 'forgotten', 'updated', 'adopted', 'created') union all select user_id, playlist_id, target_item_id, stored_hash from plan where action in ('updated', 'adopted', 'created')"),
 }

@@ -14,6 +14,7 @@ from ..sources import views as V
 from ..sources.shared import kept, shared_folder
 from ..sources.store import LogStore
 from ..streaming import ingest as I
+from ..streaming import queues as N
 from .queries import CUTOFF_MS, LIMIT, SAFE, SINCE
 from .service import MAX_OPS, Service
 
@@ -100,6 +101,20 @@ def ingested(s: Service) -> DataFrame:
     return store.read().select("seq", "user_id", "op_id", "entity")
 
 
+def queue_stream(s: Service) -> DataFrame:
+    """Each device's newest queue state as a stream keeps it, its files sent in the reverse order; the last word on every device is told."""
+    folder = f"{shared_folder(s.spark)}/driftlog-stream-{uuid.uuid4().hex}"
+    rows = kept(s.ops)
+    head = rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    for k in range(COMMITS):
+        rows.where((F.col("seq") > head * (COMMITS - 1 - k) // COMMITS) & (F.col("seq") <= head * (COMMITS - k) // COMMITS)).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    changes = N.newest_states(I.incoming(s.spark, f"{folder}/in/*", rows.schema, files_at_once=1))
+    told = changes.writeStream.outputMode("update").foreachBatch(lambda part, number: part.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"))
+    told.option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
+    said = s.spark.read.schema(f"user_id long, entity_id string, {N.ROW}, batch int").parquet(f"{folder}/out")
+    return L.latest(said, ["user_id", "entity_id"], F.col("batch")).drop("batch")
+
+
 BUILD = {
     "store_pull_page": pull_page,
     "store_playlist_ops": playlist_ops,
@@ -108,5 +123,6 @@ BUILD = {
     "store_summary": summary,
     "store_push": pushed,
     "store_ingest": ingested,
+    "queue_stream": queue_stream,
 }
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(Service(spark, sf_dir))) for name, build in BUILD.items()}

@@ -109,6 +109,19 @@ def test_missing_artwork_is_tried_again(spark):
     assert after["p2"].endswith(R.PENDING) and len(after) == 3
 
 
+def test_one_broken_playlist_leaves_the_rest_alone(spark):
+    lists = [(1, f"p{k}", k, "n", None, k == 3, k == 2, "h", "h") for k in range(5)]
+    mapping = [(1, "p0", "i0", "old"), (1, "p1", "?", "h"), (1, "p2", "?", "h"), (1, "p3", "?", "h")]
+    frame = spark.createDataFrame(lists, LISTS)
+    actions = R.plan(frame, spark.createDataFrame(mapping, MAP), spark.createDataFrame([(1, "i0", "n", None)], ITEMS), lambda item: item != "?")
+    assert {r.playlist_id: r.action for r in actions.collect()} == {"p0": "updated", "p1": "error", "p2": "error", "p3": "skipped_smart", "p4": "created"}
+    after = {r.playlist_id: r.target_item_id for r in R.mapping_after(spark.createDataFrame(mapping, MAP), actions).collect()}
+    assert after == {"p0": "i0", "p1": "?", "p2": "?", "p3": "?", "p4": None}
+    full = frame.withColumns({"unresolved": F.lit(2).cast("long"), "image_hash": F.lit("x"), "artwork_missing": F.lit(False)})
+    told = R.report(actions, full, R.artwork(full, actions, spark.createDataFrame([(1, "i0", "n", None, "x")], ITEMS + ", image string"))).collect()
+    assert [(r.errors, r.unresolved, r.artwork_applied, r.artwork_missing) for r in told] == [(2, 6, 1, 0)]
+
+
 def test_groups_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
     got = {r.node: r.label for r in graph.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
