@@ -7,8 +7,11 @@ container that holds ``MOST`` of the seeds' text, or one around it that adds no
 of the content stay, short ones and mostly linked ones too.
 
 Elements of menus, headers, footers, sidebars, adverts, forms, scripts, styles and the like never are content, unless they are left
-unclosed, when what follows them is judged by its ratios. Ids, classes and roles that as a whole name such parts or reader comments
-(``NAMED``) speak against elements that group others, unless the element holds half of the page's running text and no article or main element has any outside such elements.
+unclosed, when what follows them is judged by its ratios. Ids, classes and roles of which a word names such parts or reader comments
+(``NAMED``) speak against elements that group others and against paragraphs, unless the element holds half of the page's running text and no article or main element has any outside such
+elements. Words that articles use for parts of their own too (``DOUBTFUL``) count only where the ratios agree: an element most of whose text stands in seeds stays.
+
+A comment or tag that the page's end cuts off is no text.
 
 Defined cases: null and empty pages give an empty text; broken nesting is closed at the next matching end; an article's own
 header, and its headings, stay; repeated rows are extracted each; other columns are left alone; nesting may be of any depth.
@@ -30,14 +33,18 @@ SIGMA, SHARE, MOST = 1.0, 0.5, 0.8
 UNSEEN = {"head", "script", "style", "noscript", "template", "svg", "iframe", "button", "select", "textarea", "object", "canvas", "title"}
 ASIDE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 NAMED = set(
-    "ad ads advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer header "
-    "masthead cookie cookies cookie-banner cookie-notice consent notice popup modal newsletter subscribe comment comments comment-list comments-area disqus replies share "
-    "sharing social related related-posts widget contentinfo complementary search alert toolbar pagination pager".split()
+    "ad ads adslot advert adverts advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar masthead "
+    "cookie cookies consent popup modal newsletter subscribe signup comment comments disqus replies share sharing social related toolbar pagination pager".split()
 )
+ADVERTS = set("ad ads adslot advert adverts advertisement advertising sponsor sponsored promo promoted".split())  # these name paragraphs too
+LAST = {"notice"}  # names such a part at the end of a name only: a notice-board is none
+DOUBTFUL = set("header footer side search alert widget contentinfo complementary".split())
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | ASIDE
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "td"}
 GROUPS = {"section", "div", "ul", "ol", "dl", "table", "details", "fieldset", "center"}
 HEADING = re.compile(r"h[1-6]")
+CUT_OFF = re.compile("<[a-zA-Z/!?]")
+NOT_WORD = re.compile(r"[^a-z0-9]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
@@ -65,6 +72,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.parent, self.rooted = [0], {0}  # of each container; the ids of html and body
         self.unclosed: set[int] = set()
+        self.doubted: set[int] = set()
         self.tags = self.linked = self.ids = 0
 
     def cut(self) -> None:
@@ -97,9 +105,14 @@ class Lines(HTMLParser):
         node.unseen |= tag in UNSEEN
         if tag in ASIDE or (tag == "header" and not up.region):
             node.aside = self.ids
-        named = {w.lower() for k, v in attrs if k in ("class", "id", "role") for w in (v or "").split()}
-        if tag in GROUPS and named & NAMED:
-            node.hint = self.ids
+        if tag in GROUPS or tag == "p":
+            names = [NOT_WORD.split(name.strip("-_")) for k, v in attrs if k in ("class", "id", "role") for name in (v or "").lower().split()]
+            named = {w for parts in names for w in parts}
+            if named & (ADVERTS if tag == "p" else NAMED) or tag != "p" and any(parts[-1] in LAST for parts in names):
+                node.hint = self.ids
+            elif named & DOUBTFUL and tag != "p":
+                node.hint = self.ids
+                self.doubted.add(self.ids)
         if tag in CONTAINERS:
             node.container = len(self.parent)
             self.parent.append(up.container)
@@ -135,6 +148,8 @@ class Lines(HTMLParser):
                 self.linked += len(data.strip())
 
     def finish(self) -> None:
+        if CUT_OFF.match(self.rawdata):  # what the parser could not end
+            self.rawdata = ""
         self.close()
         self.cut()
         self.unclosed |= {node.aside for node in self.stack if node.aside}
@@ -163,6 +178,15 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
     return np.convolve(ratio, bell)[within] / np.convolve(np.ones(len(ratio)), bell)[within]
 
 
+def measured(lines: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Plain and linked characters, ratio, smoothed ratio of each line, and whether it is a seed."""
+    linked = np.array([x for _, _, x, *_ in lines], float)
+    plain = np.array([len(text) for text, *_ in lines]) - linked
+    ratio = plain / np.maximum(1, [tags for _, tags, *_ in lines])
+    smooth = smoothed(ratio)
+    return plain, linked, ratio, smooth, (smooth >= SHARE * smooth.mean()) & (plain > linked)
+
+
 def main_text(html: str | None) -> str:
     """The page's content blocks joined by line feeds."""
     if not html:
@@ -172,21 +196,21 @@ def main_text(html: str | None) -> str:
     page.finish()
     known: dict[Node, tuple[tuple, tuple]] = {}
     lines = [(*line, marks(line[3], known)[1]) for line in page.lines if all(a in page.unclosed for a in marks(line[3], known)[0])]
-    plain = [len(text) - linked for text, _, linked, *_ in lines]
-    held: dict[int, int] = {}
-    for (*_, hints), n in zip(lines, plain):
+    if not lines:
+        return ""
+    plain, linked, ratio, smooth, seed = measured(lines)
+    held: dict[int, float] = {}
+    rich: dict[int, float] = {}
+    for (*_, hints), n, s in zip(lines, plain.tolist(), (seed & (ratio >= SHARE * smooth.mean())).tolist()):
         for h in hints:
             held[h] = held.get(h, 0) + n
+            rich[h] = rich.get(h, 0) + n * s
     elsewhere = any(node.region and not hints for *_, node, hints in lines)
-    against = {h for h, n in held.items() if elsewhere or 2 * n < sum(plain)}
+    against = {h for h, n in held.items() if (elsewhere or 2 * n < plain.sum()) and not (h in page.doubted and 2 * rich[h] >= n > 0)}
     lines = [line for line in lines if not against.intersection(line[4])]
     if not lines:
         return ""
-    linked = np.array([x for _, _, x, *_ in lines], float)
-    plain = np.array([len(text) for text, *_ in lines]) - linked
-    ratio = plain / np.maximum(1, [tags for _, tags, *_ in lines])
-    smooth = smoothed(ratio)
-    seed = (smooth >= SHARE * smooth.mean()) & (plain > linked)
+    plain, linked, ratio, smooth, seed = measured(lines)
     region = np.array([node.region for *_, node, _ in lines])
     if 2 * plain[region > 0].sum() >= plain.sum() and (region > 0).any():
         keep = np.isin(region, region[seed & (region > 0)]) & (region > 0)
