@@ -153,12 +153,12 @@ def train(labelled: DataFrame, categories: list[str]) -> Chain:
 
     def sets(batches):
         for batch in batches:
-            kept = [s[chosen[s]].tolist() for s in of(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())), *(batch.column(1 + i) for i in range(k)), batch.column(k + 1)], names=["words", *categories, "draw"])
+            kept = [s[chosen[s]].astype(np.int32).tobytes() for s in of(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *(batch.column(1 + i) for i in range(k)), batch.column(k + 1)], names=["words", *categories, "draw"])
 
     chosen = np.zeros(BUCKETS, bool)
     chosen[[r.bucket for r in best]] = True
-    rows = read.mapInArrow(sets, "words array<long>, " + marks).collect()  # at most SAMPLE_ROWS
+    rows = read.mapInArrow(sets, "words binary, " + marks).collect()  # at most SAMPLE_ROWS; as bytes, not as a Python number for each word
     forget(read)
     scales = np.zeros((k, FEATURES))
     for i in range(k):
@@ -166,7 +166,7 @@ def train(labelled: DataFrame, categories: list[str]) -> Chain:
             scales[i, j] = np.log((r[f"n{2 * i + 1}"] + 2) / (totals[2 * i + 1] + 4) / ((r[f"n{2 * i}"] + 2) / (totals[2 * i] + 4)))
     labels = np.array([[np.nan if r[c] not in (0, 1) else r[c] for c in categories] for r in rows], float).reshape(-1, k)
     fold = np.array([r.draw % FOLDS for r in rows], np.int64)
-    return Chain(np.array([r.bucket for r in best], np.int64), scales, [np.array(r.words, np.int64) for r in rows], labels, fold)
+    return Chain(np.array([r.bucket for r in best], np.int64), scales, [np.frombuffer(r.words, np.int32).astype(np.int64) for r in rows], labels, fold)
 
 
 def scored(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
