@@ -83,7 +83,7 @@ def test_empty_tables_nulls_and_repeats(spark):
         judged = P.judged(log.withColumns({"batch_id": F.lit(1), "turn": F.col("seq")}), owners, shares, 10)
         assert judged.where("reason is null").count() == 2 * owned
         assert P.appended(log.limit(0), judged.where("reason is null"), "seq").count() == owned
-        assert U.retention(log, cursors, 10, 1, 1).where("prunable").count() == 0
+        assert U.retention(log, cursors, 10, 1).where("prunable").count() == 0
         assert U.cursors_after(cursors, cursors.withColumn("turn", F.lit(1).cast("long"))).count() == 0
 
 
