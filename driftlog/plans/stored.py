@@ -87,30 +87,30 @@ def pushed(s: Service) -> DataFrame:
 
 
 def ingested(s: Service) -> DataFrame:
-    """The log as it streams in: files one after the other, with operations sent again in later ones."""
+    """The log as it streams in: deliveries one after the other, taken in as each has arrived, with operations sent again in later ones."""
     folder = f"{shared_folder(s.spark)}/driftlog-stream-{uuid.uuid4().hex}"
-    rows = kept(s.ops)
+    rows, store = kept(s.ops), LogStore(s.spark, f"{folder}/log")
     for k in range(COMMITS):
         turn = 10 * F.col("seq") + k * 10_000_000_000
         first = rows.where(f"seq % 18 >= {6 * k} and seq % 18 < {6 * k + 6}").withColumn("turn", turn)
         again = rows.where(f"seq % {COMMITS} = {k} and seq % 7 = 0 and seq % 2 = {k % 2}").withColumn("turn", turn + 1)
-        first.unionByName(again).drop("seq").coalesce(1).write.parquet(f"{folder}/in/{k}")
-    store = LogStore(s.spark, f"{folder}/log")
-    stream = I.incoming(s.spark, f"{folder}/in/*", s.spark.read.parquet(f"{folder}/in/0").schema, files_at_once=1)
-    I.ingest(stream, store, "events", f"{folder}/marks").awaitTermination()
+        sent = first.unionByName(again).drop("seq")
+        sent.write.parquet(f"{folder}/in/{k}")
+        I.ingest(I.incoming(s.spark, f"{folder}/in/*", sent.schema), store, "events", f"{folder}/marks").awaitTermination()
     return store.read().select("seq", "user_id", "op_id", "entity")
 
 
 def queue_stream(s: Service) -> DataFrame:
-    """Each device's newest queue state as a stream keeps it, its files sent in the reverse order; the last word on every device is told."""
+    """Each device's newest queue state as a stream keeps it, its deliveries sent in the reverse order; the last word on every device is told."""
     folder = f"{shared_folder(s.spark)}/driftlog-stream-{uuid.uuid4().hex}"
     rows = kept(s.ops)
     head = rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    for k in range(COMMITS):
-        rows.where((F.col("seq") > head * (COMMITS - 1 - k) // COMMITS) & (F.col("seq") <= head * (COMMITS - k) // COMMITS)).coalesce(1).write.parquet(f"{folder}/in/{k}")
-    changes = N.newest_states(I.incoming(s.spark, f"{folder}/in/*", rows.schema, files_at_once=1))
+    changes = N.newest_states(I.incoming(s.spark, f"{folder}/in/*", rows.schema))
     told = changes.writeStream.outputMode("update").foreachBatch(lambda part, number: part.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"))
-    told.option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
+    told = told.option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True)
+    for k in range(COMMITS):
+        rows.where((F.col("seq") > head * (COMMITS - 1 - k) // COMMITS) & (F.col("seq") <= head * (COMMITS - k) // COMMITS)).write.parquet(f"{folder}/in/{k}")
+        told.start().awaitTermination()
     said = s.spark.read.schema(f"user_id long, entity_id string, {N.ROW}, batch int").parquet(f"{folder}/out")
     return L.latest(said, ["user_id", "entity_id"], F.col("batch")).drop("batch")
 

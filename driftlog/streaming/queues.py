@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
 ROW = "seq long, payload string, received_at long"
 
 
-def _newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the row with the highest seq; tells it when it changes. Of each part one row is looked at."""
-    held = state.get if state.exists else None
-    new = held
-    for part in parts:
-        top = part.iloc[int(part["seq"].to_numpy().argmax())]
-        if new is None or int(top["seq"]) > new[0]:
-            new = (int(top["seq"]), top["payload"], int(top["received_at"]))
-    if new != held:
-        state.update(new)
-        yield pd.DataFrame([(*key, *new)], columns=["user_id", "entity_id", *(c.split()[0] for c in ROW.split(", "))])
-
-
 def newest_states(operations: DataFrame) -> DataFrame:
     """user_id, entity_id, seq, payload, received_at whenever a device's newest queue state changes, whatever the order of arrival; the state is one row a device.
-    Operations without a sequence number, a receipt time or a device are passed over."""
-    rows = operations.where("entity = 'queue_state' and entity_id <> '' and seq is not null and received_at is not null").select("user_id", "entity_id", "seq", "payload", "received_at")
-    return rows.groupBy("user_id", "entity_id").applyInPandasWithState(_newest, f"user_id long, entity_id string, {ROW}", ROW, "update", GroupStateTimeout.NoTimeout)
+    Operations without a sequence number, a receipt time or a device are passed over.
+
+    The state is that of a streaming aggregation, combined before the shuffle. Beside the newest row it holds the time of the micro-batch that brought it, the
+    earliest for a row sent again; a device is told of in that micro-batch only.
+    """
+    now = F.unix_micros(F.current_timestamp())  # one value in a micro-batch, the same when it is run again
+    rows = operations.where("entity = 'queue_state' and entity_id <> '' and seq is not null and received_at is not null").withColumn("since", -now)
+    newest = rows.groupBy("user_id", "entity_id").agg(F.max(F.struct("seq", "since", "payload", "received_at")).alias("newest"))
+    return newest.where(F.col("newest.since") == -now).select("user_id", "entity_id", "newest.seq", "newest.payload", "newest.received_at")

@@ -4,7 +4,10 @@ import json
 
 import pyarrow as pa
 
-from driftlog.sources import bodies
+from driftlog.plans import stored
+from driftlog.sources import bodies, views
+from driftlog.streaming import queues
+from driftlog.streaming.ingest import incoming
 
 
 class Taken:
@@ -30,3 +33,27 @@ def test_bodies_are_parsed_in_blocks(spark, monkeypatch):
     for k, r in enumerate(rows[:200]):
         want = (False, f"d{k}", [o["opId"] for o in ops[: k % 51]]) if k % 7 else (True, None, None)
         assert (r["refused"], r["device_id"], r["ops"] and [o["op_id"] for o in r["ops"]]) == (*want[:2], want[2] or r["ops"])
+
+
+class Source:
+    """The part of a service that the streaming queries read."""
+
+    def __init__(self, spark, ops):
+        self.spark, self.ops = spark, ops
+
+
+def test_deliveries_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "shared_folder", lambda spark: f"file://{tmp_path}")
+    ops = views.ops(spark, "/root/testdata/sf0.001").where("seq <= 600").repartition(6)
+    got = stored.ingested(Source(spark, ops))
+    rows = got.collect()
+    files = [sum(f.name.endswith(".parquet") for f in d.iterdir()) for d in sorted(tmp_path.glob("driftlog-stream-*/in/*"))]
+    assert len(files) == 3 and min(files) > 1  # as one file a delivery was one task's work
+    assert sorted(r.seq for r in rows) == list(range(1, len(rows) + 1)) and len({(r.user_id, r.op_id) for r in rows}) == len(rows) == ops.select("user_id", "op_id").distinct().count()
+
+
+def test_the_stream_of_queue_states_runs_no_python(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "queue_state", "d1", 5, "p", 9)], "user_id long, entity string, entity_id string, seq long, payload string, received_at long")
+    rows.write.parquet(f"{tmp_path}/in")
+    plan = queues.newest_states(incoming(spark, f"{tmp_path}/in", rows.schema))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan  # a call for each device and delivery before
