@@ -1,14 +1,19 @@
-"""A minimal perfect hash over 64-bit keys with the keys stored by slot, in blocks of bounded size that tasks hold one at a time."""
+"""A minimal perfect hash over 64-bit keys with the keys stored by slot, in blocks of bounded size that tasks make one at a time and hold a few of."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, stored
 from .shingles import mix
 
-BLOCK_KEYS = 1 << 22  # keys of a block on an average: 36 MB in the driver while it is made and in a task that reads it
+BLOCK_KEYS = 1 << 18  # keys of a block on an average: 2.4 MB in a task that reads it and on its way through the driver, tens of MB in the task that makes it
+HELD = 16  # blocks that a worker holds at a time
 ROOM = 2.0  # bits per key still without a slot, at each level
 U = np.uint64
 
@@ -65,32 +70,43 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys ^ (keys >> 32)) & 0x7FFFFFFF) % blocks
 
 
+def made(group: pa.Table) -> pa.Table:
+    """A block's number, size and pickled hash, as one row."""
+    table = PerfectHash(group.column("key").to_numpy())
+    return pa.table({"block": group.column("block")[:1], "size": pa.array([len(table.stored)], pa.int64()), "table": pa.array([pickle.dumps(table, protocol=5)], pa.binary())})
+
+
 class Slots:
-    """The slots of a table's keys: one perfect hash per block of keys, made in the driver one after the other and broadcast. A worker holds one block at a time."""
+    """The slots of a table's keys: one perfect hash per block of keys, made in a task. The driver passes them on to a broadcast one after the other, as bytes
+    that it doesn't look into. A worker holds ``HELD`` blocks at most."""
 
     def __init__(self, keys: DataFrame, block_keys: int | None = None):
         spark, n = keys.sparkSession, keys.count()
         self.blocks = 1 + n // (block_keys or BLOCK_KEYS)
         self.shared, self.first, self.size = [], [], 0
+        dealt = keys.select("key", ((F.col("key").bitwiseXOR(F.shiftright("key", 32)).bitwiseAND(0x7FFFFFFF)) % self.blocks).cast("int").alias("block"))
+        tables = stored(dealt.repartition(self.blocks, "block").groupBy("block").applyInArrow(made, "block int, size long, table binary"))
+        sizes = {r.block: r.size for r in tables.select("block", "size").collect()}  # one row per block
+        empty = pickle.dumps(PerfectHash(np.zeros(0, np.int64)), protocol=5)
         for b in range(self.blocks):
-            part = keys.where((F.col("key").bitwiseXOR(F.shiftright("key", 32)).bitwiseAND(0x7FFFFFFF)) % self.blocks == b).select("key").toArrow()
-            table = PerfectHash(part.column("key").to_numpy())
+            table = bytes(tables.where(F.col("block") == b).select("table").first()[0]) if b in sizes else empty
             self.shared.append(spark.sparkContext.broadcast(table))
             self.first.append(self.size)
-            self.size += len(table.stored)
-        self.held: tuple[int, PerfectHash] | None = None
+            self.size += sizes.get(b, 0)
+        forget(tables)
+        self.held: dict[int, PerfectHash] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"held": None}
+        return self.__dict__ | {"held": {}}
 
     def block(self, b: int) -> PerfectHash:
-        if self.held is None or self.held[0] != b:
-            self.held = None
-            value = self.shared[b].value
-            if self.blocks > 1 and hasattr(self.shared[b], "_value"):
+        if b not in self.held:
+            if len(self.held) >= HELD:
+                del self.held[next(iter(self.held))]
+            self.held[b] = pickle.loads(self.shared[b].value)
+            if hasattr(self.shared[b], "_value"):
                 del self.shared[b]._value  # read again from the local copy when needed
-            self.held = (b, value)
-        return self.held[1]
+        return self.held[b]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for keys that are none."""
