@@ -29,6 +29,7 @@ from .shingles import SetSketch, mix, shingle_sets
 WORDS, PERCENT = 5, 75
 REGISTERS, ROWS = 384, 6  # 64 bands of 6: a pair at 0.75 meets in none with a chance of 4e-6
 SLACK = 0.14  # six standard deviations of the estimate at 0.75
+TIES = 16  # earlier members that a node is tied to, at most; what they leave apart is compared in blocks
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # members and shingles on a side of the square blocks in which open buckets are compared
 GROUP = 1 << 16  # members of connected open buckets that are compared as one group
 
@@ -109,7 +110,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def tied_neighbours(members: DataFrame) -> DataFrame:
-    """(a, b) for each member of a bucket and the next larger one of its sub-bucket, and for the least ones of a bucket's sub-buckets."""
+    """(a, b) for each member of a bucket and the next larger one of its sub-bucket, and for the least ones of a bucket's sub-buckets; ``TIES`` of each larger one
+    over all its buckets, as members of a large group would have another in each. No link is lost by that: buckets that still hold several components are
+    compared whole."""
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node", "band"), F.lit(SALTS)))  # another one in each band, so that the sub-buckets overlap
 
     def chain(rows: DataFrame, *keys: str) -> DataFrame:
@@ -117,8 +120,10 @@ def tied_neighbours(members: DataFrame) -> DataFrame:
         return rows.select("node", "n", before.alias("before")).where(f"100 * before.n >= {PERCENT} * n")
 
     heads = salted.groupBy("band", "salt").agg(F.min(F.struct("n", "node")).alias("head")).select("band", "head.n", "head.node")
-    pairs = chain(salted, "band", "salt").unionByName(chain(heads, "band"))
-    return pairs.select(F.least("before.node", "node").alias("a"), F.greatest("before.node", "node").alias("b")).distinct()
+    pairs = chain(salted, "band", "salt").unionByName(chain(heads, "band")).select("node", F.col("before.node").alias("before")).distinct()
+    drawn = Window.partitionBy("node").orderBy(F.xxhash64("node", "before"), "before")
+    few = pairs.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= TIES)
+    return few.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
 
 
 def across_components(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:

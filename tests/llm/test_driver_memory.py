@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from driftlog.llm import perfect_hash
+from driftlog.llm import minhash_dedup, perfect_hash
+from driftlog.llm.common import connected_components, settled, stored
 
 
 def test_the_driver_makes_no_perfect_hash(spark, monkeypatch):
@@ -19,3 +20,25 @@ def test_the_driver_makes_no_perfect_hash(spark, monkeypatch):
     keys = np.arange(-1500, 1500) * 7919
     slots = table.find(keys)
     assert table.blocks > 20 and sorted(slots.tolist()) == list(range(3000)) and (table.keys(slots) == keys).all() and len(table.held) <= 2
+
+
+def test_well_compressed_tables_are_not_broadcast(spark):
+    plans = []
+
+    @settled
+    def joined(rows):
+        small = stored(rows.sparkSession.range(0, 1_000_000, 1, 4).selectExpr("id as slot", "id % 3 as f"))  # about 50 MB in a join's hash table
+        out = rows.join(small, "slot")
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    before = spark.conf.get("spark.sql.sources.fileCompressionFactor")
+    assert joined(spark.range(3_000_000).selectExpr("id % 999 as slot")).count() == 3_000_000
+    assert "BroadcastHashJoin" not in plans[0] and spark.conf.get("spark.sql.sources.fileCompressionFactor") == before
+
+
+def test_a_large_group_gets_few_ties(spark):
+    members = spark.range(300).selectExpr("id as node", "explode(sequence(0L, 63L)) as band", "10L as n")
+    ties = minhash_dedup.tied_neighbours(members)
+    assert ties.groupBy("b").count().agg({"count": "max"}).first()[0] <= minhash_dedup.TIES  # about 60 before: one for each band
+    assert connected_components(ties.toDF("u", "v")).where("component = 0").count() == 300
