@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 BROADCAST_ROWS = 250_000  # rows of two numbers that a join may send to every task (a few MB); larger sides are dealt out with salts
+PACKED = 32  # bytes of a row in a join's hash table to one in a compressed file of numbers, about; Spark takes a file's size for its rows' otherwise
 _scratch: list[list[DataFrame]] = []
 
 
@@ -47,10 +48,22 @@ def forget(df: DataFrame) -> None:
 
 
 def settled(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Decorates a function that returns a DataFrame: its result is stored, and the tables stored on the way there are deleted."""
+    """Decorates a function of a DataFrame or a session, its first argument, that returns a DataFrame: its result is stored, and the tables stored on the way
+    there are deleted. Meanwhile a file counts ``PACKED`` times its size, so that no join takes a table of millions of well compressed rows for one to broadcast:
+    those would all go through the driver."""
 
     @functools.wraps(build)
     def run(*args, **kwargs) -> DataFrame:
+        first = args[0] if args else next(iter(kwargs.values()))
+        conf = getattr(first, "sparkSession", first).conf
+        before = conf.get("spark.sql.sources.fileCompressionFactor")
+        conf.set("spark.sql.sources.fileCompressionFactor", str(max(float(before), PACKED)))
+        try:
+            return settled_result(*args, **kwargs)
+        finally:
+            conf.set("spark.sql.sources.fileCompressionFactor", before)
+
+    def settled_result(*args, **kwargs) -> DataFrame:
         _scratch.append([])
         try:
             out, kept = build(*args, **kwargs), _scratch[-1]
