@@ -27,7 +27,7 @@ SCHEMAS = {
     "summaries": "user_id long, entity string, n long, head long, commit long",
     "commits": "commit long, entity string, base boolean, n long, low long, high long, source string, source_batch long",
 }
-FILE_ROWS = 2_000_000  # rows of a commit's file, about
+FILE_ROWS = 250_000  # rows of a commit's file and of the task that sorts and writes it, about
 
 
 def fitted(rows: DataFrame) -> DataFrame:

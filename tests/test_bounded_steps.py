@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from driftlog.plans import stored
 from driftlog.sources import bodies, views
+from driftlog.sources.store import LogStore
 from driftlog.streaming import queues
 from driftlog.streaming.ingest import incoming
 
@@ -57,3 +58,9 @@ def test_the_stream_of_queue_states_runs_no_python(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     plan = queues.newest_states(incoming(spark, f"{tmp_path}/in", rows.schema))._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" in plan and "Pandas" not in plan  # a call for each device and delivery before
+
+
+def test_a_large_commit_is_sorted_and_written_by_many_tasks(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/log")
+    store.append(spark.range(600_000).selectExpr("id + 1 as seq", "cast(id as string) as op_id", "id % 900 as user_id", "'likes' as entity"))
+    assert sum(1 for _ in tmp_path.glob("log/log/*/*/*.parquet")) > 1 and store.read().count() == 600_000
