@@ -13,11 +13,14 @@ an empty table gives no rows. Other columns are left alone.
 
 from __future__ import annotations
 
+import codecs
 import functools
+import json
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,19 @@ LIMIT, END_ID = 4096, 1
 END = np.array([END_ID], "<u4").tobytes()
 MARK, GROUP_WORDS = "\x01", 1000
 BLANK = re.compile(r"[\t\n\r]")
-SIMPLE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?]+)?")  # one or two parts to a tokenizer with a word pattern
-BLOCK_BYTES = 1 << 19
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Latin letters, digits, blanks and ASCII marks but the apostrophe, which begins parts of its own, and "<", which begins added tokens; their parts by PATTERN.
+PLAIN = re.compile(r"[ \t\n\r0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-&(-/:;=-@\[-`{-~]*")
+PART = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+SINGLE = r"([0-9]|[!-&(-/:;=-@\[-`{-~]+)"  # of PART, all but letters
+BLOCK_BYTES = 1 << 21
 RANK_ROWS = 1000  # pieces of one length that are ranked in one group
 CACHE_WORDS, CACHE_CHARS = 1 << 18, 48
 PLACES, BLOCKS = 1 << 21, 64  # rows of a broadcast block of places (about 100 MB in a task's executor), and blocks at most
@@ -36,39 +50,55 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACED = ("doc_id", "piece", "start", "length", "offset")
 
 
+def byte_characters() -> str:
+    """The character that byte-level vocabularies write for each byte."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 class WordCoder:
     """Token ids of whole texts as little-endian bytes, end id included, coding each word between ASCII blanks once.
 
     Right for tokenizers that drop white space and never join characters across it, as those with a word pattern and an
-    end-of-word suffix do; ``token_pieces`` is tested against whole-text coding. Words of at most ``CACHE_CHARS``
-    characters are kept; the store is emptied when it holds ``CACHE_WORDS``.
+    end-of-word suffix do; ``token_pieces`` is tested against whole-text coding. Where the tokenizer's normalizer and pattern are those of
+    ``NORMAL`` and ``PATTERN``, plain words fall into their lower-case parts, so that the tokenizer's model codes each part once,
+    however it is written and followed. Words and parts of at most ``CACHE_CHARS`` characters are kept; the store is emptied when it holds
+    ``CACHE_WORDS``.
     """
 
     def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+
         self.tokenizer, self.known = tokenizer, {}
         marks = tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = marks[0] if len(marks) == 1 else None
-        suffix, vocabulary = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
-        self.ends = None
-        if suffix:
+        self.model = Tokenizer(tokenizer.model) if by_parts(tokenizer) else None
+        if self.model:
+            vocabulary, suffix = tokenizer.get_vocab(), tokenizer.model.end_of_word_suffix
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text that is not plain; those that are, as their parts."""
+        words = BLANK.sub(" ", text).split(" ")
+        return [x for w in words for x in (PART.findall(w.lower()) if PLAIN.fullmatch(w) else [w])] if self.model else words
+
     def coded(self, words: list[str]) -> dict[str, bytes]:
-        """Plain words go through the tokenizer as one text and are told apart by their parts' ends, others by ``marked``."""
-        shapes = [SIMPLE.fullmatch(w) if self.ends is not None else None for w in words]
-        plain = [w for w, m in zip(words, shapes) if m]
-        parts = np.array([1 + bool(m[1]) for m in shapes if m], np.int64)
-        out = self.marked([w for w, m in zip(words, shapes) if not m])
-        starts = range(0, len(plain), GROUP_WORDS)
-        for at, found in zip(starts, self.tokenizer.encode_batch_fast([" ".join(plain[i : i + GROUP_WORDS]) for i in starts], add_special_tokens=False)):
-            ids, group = np.array(found.ids, "<u4"), plain[at : at + GROUP_WORDS]
-            last = np.cumsum(parts[at : at + GROUP_WORDS]) - 1
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
-                cuts, whole = (4 * ends[last]).tolist(), ids.tobytes()
-                out |= {w: whole[a:b] for w, a, b in zip(group, [0, *cuts[:-1]], cuts, strict=True)}
-            else:  # a part of this tokenizer's own kind
+        """Many parts go to the model as one list, told apart by their last tokens; words that are none go through ``marked``."""
+        parts = [w for w in words if PART.fullmatch(w)] if self.model else []
+        out = self.marked([w for w in words if not PART.fullmatch(w)] if self.model else words)
+        groups = [parts[i : i + GROUP_WORDS] for i in range(0, len(parts), GROUP_WORDS)]
+        written = [codecs.charmap_decode(" ".join(g).encode(), "strict", BYTE_CHARACTERS)[0].split(BYTE_CHARACTERS[32]) for g in groups]
+        for group, found in zip(groups, self.model.encode_batch_fast(written, is_pretokenized=True, add_special_tokens=False) if groups else []):
+            ids = np.array(found.ids, "<u4")
+            ends, whole = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            if len(ends) == len(group) and ends[-1] == len(whole):
+                out |= {w: whole[a:b] for w, a, b in zip(group, [0, *ends[:-1]], ends, strict=True)}
+            else:  # a part that the model leaves without an end
                 out |= self.marked(group)
         return out
 
@@ -85,19 +115,44 @@ class WordCoder:
             out |= {w: whole[a:b] for w, a, b in zip(group, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)}
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [BLANK.sub(" ", t).split(" ") for t in texts]
-        new = {w for words in split for w in words}.difference(self.known)
+    def found(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from the store where it has them."""
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = {w for words in split for w in words}
-        self.known |= self.coded(list(new))
-        out = [b"".join([*map(self.known.__getitem__, words), END]) for words in split]
+            self.known, new = {}, words
+        self.known |= self.coded(new)
+        out = [*map(self.known.__getitem__, words)]
         for w in new:
             if len(w) > CACHE_CHARS:
                 del self.known[w]
         return out
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Plain texts fall into their parts as Arrow columns, so that of all words only a block's distinct ones become Python strings."""
+        plain = np.array([bool(self.model and PLAIN.fullmatch(t)) for t in texts], bool)
+        spaced = pc.replace_substring_regex(pa.array([t.lower() for t, p in zip(texts, plain) if p], pa.string()), pattern=SINGLE, replacement=r" \1 ")
+        lists = [pc.ascii_split_whitespace(spaced), pa.array([self.split(t) for t, p in zip(texts, plain) if not p], pa.list_(pa.string()))]
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        each = self.found(words.dictionary.to_pylist())
+        size, at = np.array([len(x) // 4 for x in each], np.int64), words.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(size[at])]
+        place = np.repeat((np.cumsum(size) - size)[at] - ends[:-1], size[at]) + np.arange(ends[-1])
+        whole = np.frombuffer(b"".join(each), "<u4")[place].tobytes()
+        cuts = (4 * ends[np.r_[0, np.cumsum(np.concatenate([x.value_lengths().to_numpy() for x in lists]))]]).tolist()
+        out = [b""] * len(texts)
+        for k, i in enumerate(np.argsort(~plain, kind="stable").tolist()):
+            out[i] = whole[cuts[k] : cuts[k + 1]] + END
+        return out
+
+
+def by_parts(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, cuts words into parts by ``PATTERN`` and codes each part's bytes by itself."""
+    parts = tokenizer.normalizer, tokenizer.pre_tokenizer
+    if None in parts or tokenizer.post_processor is not None or not getattr(tokenizer.model, "end_of_word_suffix", None):
+        return False
+    normal, pattern = (json.loads(p.__getstate__()) for p in parts)
+    return normal == NORMAL and pattern == PATTERN and all("<" in t.content for t in tokenizer.get_added_tokens_decoder().values())
+
 
 @functools.lru_cache(1)
 def word_coder(tokenizer_path: str) -> WordCoder:
