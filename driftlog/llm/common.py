@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -113,30 +113,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     never one group in one task. Nulls and self-loops are ignored; no edges give no rows.
     """
 
+    def ends(*pairs: tuple[str, str]) -> Column:
+        return F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs)))
+
     def star(pairs: DataFrame, rows: int) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return dealt(pairs, least, ["u"], 2 * rows, F.col("v"))
 
-    def mark(table: DataFrame) -> tuple:
-        return tuple(table.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+    def marked(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        """The distinct pairs, stored, with their count and a sum over them, which the write takes along."""
+        seen = Observation()
+        table = stored(pairs.distinct().observe(seen, F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("sum")))
+        return table, (seen.get["n"], seen.get["sum"])
 
-    now = stored(
-        edges.where("u is not null and v is not null and u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    before = mark(now)
+    now, before = marked(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = star(large, before[0])
-        new = stored(
-            small.select("u", F.col("m").alias("v"))
-            .unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .distinct()
-        )
-        after = mark(new)
-        now = new
+        large = star(now.select(ends(("u", "v"), ("v", "u"))), before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        now, after = marked(star(large, before[0]).select(ends(("u", "m"), ("v", "m"))).where("u > v"))
         if after == before:
             break
         before = after

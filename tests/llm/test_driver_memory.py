@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from driftlog.llm import minhash_dedup, perfect_hash
+from driftlog.llm import common, minhash_dedup, perfect_hash
 from driftlog.llm.common import connected_components, settled, stored
 
 
@@ -42,3 +42,18 @@ def test_a_large_group_gets_few_ties(spark):
     ties = minhash_dedup.tied_neighbours(members)
     assert ties.groupBy("b").count().agg({"count": "max"}).first()[0] <= minhash_dedup.TIES  # about 60 before: one for each band
     assert connected_components(ties.toDF("u", "v")).where("component = 0").count() == 300
+
+
+def test_a_round_of_components_is_one_small_plan(spark, monkeypatch):
+    plans, plain = [], common.stored
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return plain(df)
+
+    monkeypatch.setattr(common, "stored", told)
+    path = spark.range(40).selectExpr("id as u", "id + 1 as v")
+    found = {r.node: r.component for r in connected_components(path.unionByName(path.selectExpr("u + 100", "v + 100").toDF("u", "v"))).collect()}
+    assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(41)}
+    assert max(plans) <= 10, plans  # 15 before: each round's plan held its steps twice
+    assert connected_components(path.where("u < 0")).count() == 0
