@@ -97,12 +97,12 @@ def dealt(big: DataFrame, small: DataFrame, on: list[str], rows: int, spread: Co
     """``big`` joined with ``small`` of ``rows`` rows, unique in ``on``, where a few keys may hold most rows of ``big``.
 
     A small side of a checked size is broadcast; a larger one meets ``big`` under ``SALTS`` salts of each key, so that no key is
-    one task's work.
+    one task's work. The join is told to sort: Spark takes the salted rows for as many as before the salts, and would broadcast all of them.
     """
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

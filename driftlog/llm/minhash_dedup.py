@@ -149,7 +149,7 @@ def across_components(placed: DataFrame, nodes: DataFrame, texts: DataFrame) ->
     cut = whole.select(*columns).unionByName(banded.select(*columns)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = met.select("grp", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component")
-    rows = rows.join(nodes.select("node", "registers"), "node").join(texts, "node")
+    rows = rows.join(nodes.select("node", "registers").hint("merge"), "node").join(texts.hint("merge"), "node")  # a row counts once for Spark, however many parts it meets
 
     def compare(group: pa.Table) -> pa.Table:
         own, node, n, component = (group.column(c).to_numpy() for c in ("own", "node", "n", "component"))

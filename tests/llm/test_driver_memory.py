@@ -3,7 +3,7 @@
 import numpy as np
 
 from driftlog.llm import common, minhash_dedup, perfect_hash
-from driftlog.llm.common import connected_components, settled, stored
+from driftlog.llm.common import connected_components, dealt, settled, stored
 
 
 def test_the_driver_makes_no_perfect_hash(spark, monkeypatch):
@@ -37,6 +37,29 @@ def test_well_compressed_tables_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plans[0] and spark.conf.get("spark.sql.sources.fileCompressionFactor") == before
 
 
+def test_salted_rows_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    pairs = stored(spark.range(40_000).selectExpr("id % 2000 as u", "id as v"))
+    least = pairs.groupBy("u").agg({"v": "min"}).toDF("u", "m")  # few rows by the exchange before the salts
+    for how in ("inner", "left"):
+        out = dealt(pairs, least, ["u"], 2000, pairs.v, how)
+        assert {(r.u, r.m) for r in out.collect()} == {(i, i) for i in range(2000)} and out.count() == 40_000
+        plan = out._jdf.queryExecution().executedPlan().toString()  # the one that ran
+        assert "isFinalPlan=true" in plan and "BroadcastExchange" not in plan, plan
+
+
+def test_a_group_meets_its_parts_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    docs = spark.range(30).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 60), x -> concat('w', x)), concat('z', id)) as text")
+    nodes = minhash_dedup.signatures(docs).selectExpr("id as node", "id", "print", "n_shingles as n", "registers")
+    placed = stored(minhash_dedup.band_rows(nodes).selectExpr("*", "node as component"))
+    found = minhash_dedup.across_components(placed, stored(nodes), stored(docs.selectExpr("doc_id as node", "cast(text as binary) as text")))
+    assert connected_components(found.toDF("u", "v")).where("component = 0").count() == 30
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin [node#" not in plan, plan
+
+
 def test_a_large_group_gets_few_ties(spark):
     members = spark.range(300).selectExpr("id as node", "explode(sequence(0L, 63L)) as band", "10L as n")
     ties = minhash_dedup.tied_neighbours(members)
